@@ -114,6 +114,8 @@ def top_n(items: DataFrame, group: str, score: str, ties: Sequence[str], n: int)
         .select("uri", "rg", "one", "top")
     )
     schema = T.StructType([T.StructField(c, kinds[c]) for c in names])
+    # as many tasks as files: the descriptions are small, what they stand for is not
+    worth = worth.repartition(max(1, len(files)), "uri")
     found = worth.groupBy("uri").applyInPandas(lambda pdf: _restore(_scan(pdf, names, n), schema), schema)
     order = Window.partitionBy("_g").orderBy(F.col("_s").desc(), *[F.col(t).asc_nulls_last() for t in names[2:]])
     return (
