@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rankweave.functions.text import normal_name, project_of_instance, source_key, word_punct_count
 from rankweave.llm.grouped_split import components, split_by_component
+from rankweave.llm.markup import clean_texts, valid_statements
 from rankweave.llm.mixing import mix
 from rankweave.llm.neighbours import knn, knn_pairs_at_least
 from rankweave.llm.packing import pack
+from rankweave.llm.residue import CLASS_NAMES, classified, without_content
 from rankweave.llm.term_scores import graph_terms, tf_idf
 from rankweave.llm.top_items import latest, top_n
 from rankweave.session import Workspace, table
@@ -21,6 +23,17 @@ CONTAINER = 512
 TOP = 5
 
 
+# ---- problem 2
+
+
+def p2_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean_texts(valid_statements(table(spark, sf_dir, "instances")), "instance_id", "problem_statement")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_clean(spark, sf_dir).select("instance_id", F.explode("languages").alias("markup"))
+
+
 # ---- problem 3
 
 
@@ -157,10 +170,37 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.withColumn("share", F.round("share", 6)).withColumn("budget", F.round("budget", 3))
 
 
+# ---- problem 9
+
+
+def _residue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classified(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_content(_residue(spark, sf_dir), "doc_id").select("doc_id")
+
+
+def p9_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by source that stay once the cases are left out, and how many went for what."""
+    found = without_content(_residue(spark, sf_dir), "doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", source_key(F.col("source")).alias("source"))
+    kind = F.coalesce(F.element_at(F.array(*map(F.lit, CLASS_NAMES)), F.col("class") + 1), F.lit("kept"))
+    return docs.join(found, "doc_id", "left").groupBy("source", kind.alias("why")).agg(F.count(F.lit(1)).alias("documents"))
+
+
+def p9_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages other than content with the number of documents and sources they stand in."""
+    rows = _residue(spark, sf_dir).where("class <> 0 AND message <> ''")
+    return rows.groupBy("message", "class").agg(
+        F.count(F.lit(1)).alias("documents"), F.count_distinct("source").alias("sources")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p3_found, p3_neighbours, p4_found, p4_split, p4_shares, p5_found, p5_scores, p6_found, p6_top_nodes,
-        p7_found, p7_containers, p7_fill, p8_found, p8_mixture, p8_shares,
+        p2_found, p2_clean, p3_found, p3_neighbours, p4_found, p4_split, p4_shares, p5_found, p5_scores, p6_found, p6_top_nodes,
+        p7_found, p7_containers, p7_fill, p8_found, p8_mixture, p8_shares, p9_found, p9_kept, p9_messages,
     )
 }
