@@ -481,7 +481,8 @@ def _render(node: Node, shelf: _Shelf, out: list[str], depth: int = 0) -> None:
         inner = [text]
         for x in node.children:
             _render(x, shelf, inner, depth + 1)
-        out.append(f"\n{number} {''.join(inner).strip()}\n")
+        new_line = "" if out and out[-1].endswith("\n") else "\n"
+        out.append(f"{new_line}{number} {''.join(inner).strip()}\n")
         return
     if node.tag in ("row", "tr"):
         cells = []
