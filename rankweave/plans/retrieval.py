@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from rankweave.functions import text as T
-from rankweave.operators import lexical as L, rank as R
+from rankweave.operators import lexical as L, measures as M, rank as R
 from rankweave.operators.corpus import Corpus
 from rankweave.operators.expand import bfs, pagerank, seed_consensus, seeds, shortest_paths
 from rankweave.plans.prefix import QN
@@ -76,17 +76,7 @@ def _(c: Corpus) -> DataFrame:
   starts_with({QN}, '__') AND ends_with({QN}, '__') AS dunder, contains({QN}, '.') AS is_method FROM gold""",
 )
 def _(c: Corpus) -> DataFrame:
-    return classify(c.gold, "id")
-
-
-def classify(df: DataFrame, id_: str) -> DataFrame:
-    """File, symbol and visibility of a node id."""
-    qn = T.qualified_name(F.col(id_))
-    dunder = qn.startswith("__") & qn.endswith("__")
-    return df.select(
-        "instance_id", id_, T.file_of(F.col(id_)).alias("file"), qn.alias("symbol"), (qn.startswith("_") & ~dunder).alias("private"),
-        dunder.alias("dunder"), qn.contains(".").alias("is_method"),
-    )
+    return M.classify(c.gold, "id")
 
 
 @query("prj8_usable", "SELECT instance_id, repo FROM usable")
@@ -132,17 +122,6 @@ def _(c: Corpus) -> DataFrame:
     return c.raw("graph_nodes").select(F.coalesce("file", F.lit("")).alias("file")).distinct().select("file", F.col("file").rlike(T.TEST_PATH).alias("is_test_path"))
 
 
-def commas(sig):
-    return F.length(sig) - F.length(F.replace(sig, F.lit(","), F.lit("")))
-
-
-def arity(sig):
-    """Commas plus one of a definition, else 0; at most 12, divided by 12."""
-    s = F.regexp_replace(sig, r"^\s+", "")
-    n = F.when(s.startswith("def ") | s.startswith("async def "), commas(sig) + 1).otherwise(0)
-    return F.least(n, F.lit(12)) / 12
-
-
 COMMAS_SQL = "(length(sig) - length(replace(sig, ',', '')))"
 ARITY_SQL = f"(CASE WHEN regexp_matches(sig, '^\\s*(async )?def ') THEN least({COMMAS_SQL} + 1, 12) ELSE 0 END / 12.0::DOUBLE)"
 
@@ -150,7 +129,7 @@ ARITY_SQL = f"(CASE WHEN regexp_matches(sig, '^\\s*(async )?def ') THEN least({C
 @query("str7_arity", f"SELECT instance_id, idx, round({ARITY_SQL}, 6) AS n_args, round(least({COMMAS_SQL}, 12) / 12.0::DOUBLE, 6) AS n_commas FROM nodes")
 def _(c: Corpus) -> DataFrame:
     return c.nodes.select(
-        "instance_id", "idx", F.round(arity(F.col("sig")), 6).alias("n_args"), F.round(F.least(commas(F.col("sig")), F.lit(12)) / 12, 6).alias("n_commas")
+        "instance_id", "idx", F.round(M.arity(F.col("sig")), 6).alias("n_args"), F.round(F.least(M.commas(F.col("sig")), F.lit(12)) / 12, 6).alias("n_commas")
     )
 
 
@@ -215,24 +194,12 @@ def _(c: Corpus) -> DataFrame:
 SELECT i.instance_id, coalesce(min(s.lex_rank) - 1, 1000000000)::BIGINT AS best_rank
 FROM inst i LEFT JOIN (SELECT * FROM scores SEMI JOIN targets USING (instance_id, idx)) s USING (instance_id) GROUP BY ALL""")
 def _(c: Corpus) -> DataFrame:
-    return best_gold_rank(c)
-
-
-def best_gold_rank(c: Corpus) -> DataFrame:
-    """Rank from 0 of the best target of each instance, 10**9 without one."""
-    best = c.scores.join(c.targets, ["instance_id", "idx"], "left_semi").groupBy("instance_id").agg((F.min("lex_rank") - 1).alias("r"))
-    return c.instances.select("instance_id").join(best, "instance_id", "left").select(
-        "instance_id", F.coalesce("r", F.lit(10**9)).cast("bigint").alias("best_rank")
-    )
+    return M.best_gold_rank(c)
 
 
 @query("lex9_tfidf_cosine", "SELECT instance_id, idx, lex, lex_rank FROM tfidf")
 def _(c: Corpus) -> DataFrame:
-    return tfidf(c)
-
-
-def tfidf(c: Corpus) -> DataFrame:
-    return c.keep("tfidf", lambda: L.tfidf_scores(c.nodes, c.instances))
+    return M.tfidf(c)
 
 
 @query("lex10_bm25_with_tests", "SELECT instance_id, idx, lex, lex_rank FROM scores_all")
@@ -243,12 +210,7 @@ def _(c: Corpus) -> DataFrame:
 @query("lex11_pool_normalized", """
 SELECT instance_id, idx, round(lex / coalesce(nullif(max(lex) OVER (PARTITION BY instance_id), 0), 1), 6) AS lex_norm FROM pool""")
 def _(c: Corpus) -> DataFrame:
-    return c.pool().select("instance_id", "idx", F.round(pool_norm(), 6).alias("lex_norm"))
-
-
-def pool_norm():
-    most = F.max("lex").over(Window.partitionBy("instance_id"))
-    return F.col("lex") / F.when(most > 0, most).otherwise(1.0)
+    return c.pool().select("instance_id", "idx", F.round(M.pool_norm(), 6).alias("lex_norm"))
 
 
 # ---- joins
@@ -369,28 +331,14 @@ def _(c: Corpus) -> DataFrame:
 SELECT u.instance_id, u.repo, coalesce(min(r.hop), -1)::INTEGER AS hops FROM usable u
 LEFT JOIN (SELECT * FROM reach SEMI JOIN targets USING (instance_id, idx) WHERE k = 10) r USING (instance_id) GROUP BY ALL""")
 def _(c: Corpus) -> DataFrame:
-    return gold_hops(c)
-
-
-def gold_hops(c: Corpus, k: int = 10) -> DataFrame:
-    """Least hop of a target per usable instance, -1 if none is reached."""
-    near = c.reach.where(F.col("k") == k).join(c.targets, ["instance_id", "idx"], "left_semi").groupBy("instance_id").agg(F.min("hop").alias("h"))
-    return c.usable.join(near, "instance_id", "left").select("instance_id", "repo", F.coalesce("h", F.lit(-1)).alias("hops"))
-
-
-def degrees(c: Corpus) -> DataFrame:
-    """``instance_id, idx, deg, outs``: undirected neighbours and directed multi-edges."""
-    deg = c.adj.groupBy("instance_id", F.col("a").alias("idx")).agg(F.count(F.lit(1)).alias("deg"))
-    outs = c.edges.groupBy("instance_id", F.col("src").alias("idx")).agg(F.count(F.lit(1)).alias("outs"))
-    both = c.nodes.select("instance_id", "idx").join(deg, ["instance_id", "idx"], "left").join(outs, ["instance_id", "idx"], "left")
-    return both.select("instance_id", "idx", F.coalesce("deg", F.lit(0)).alias("deg"), F.coalesce("outs", F.lit(0)).alias("outs"))
+    return M.gold_hops(c)
 
 
 @query("gr17_degrees", """
 SELECT n.instance_id, n.idx, coalesce(deg, 0) AS deg, coalesce(outs, 0) AS outs, greatest(coalesce(deg, 0) - coalesce(outs, 0), 0) AS ins
 FROM nodes n LEFT JOIN deg USING (instance_id, idx) LEFT JOIN outs USING (instance_id, idx)""")
 def _(c: Corpus) -> DataFrame:
-    return degrees(c).withColumn("ins", F.greatest(F.col("deg") - F.col("outs"), F.lit(0)))
+    return M.degrees(c).withColumn("ins", F.greatest(F.col("deg") - F.col("outs"), F.lit(0)))
 
 
 GRAPH_SUMMARY_SQL = """
@@ -403,24 +351,9 @@ GRAPH_SUMMARY_SQL = """
   GROUP BY n.instance_id"""
 
 
-def graph_summary(c: Corpus) -> DataFrame:
-    """Nodes, mean degree, files and share of edges between files of each graph."""
-    base = c.nodes.join(degrees(c), ["instance_id", "idx"]).groupBy("instance_id").agg(
-        F.count(F.lit(1)).alias("n_nodes"), F.avg("deg").alias("mean_deg"), F.count_distinct("file").alias("n_files")
-    )
-    files = c.nodes.select("instance_id", "idx", "file")
-    cross = (
-        c.edges.join(files.toDF("instance_id", "src", "fs"), ["instance_id", "src"])
-        .join(files.toDF("instance_id", "dst", "fd"), ["instance_id", "dst"])
-        .groupBy("instance_id")
-        .agg(F.avg((F.col("fs") != F.col("fd")).cast("int")).alias("cross_file"))
-    )
-    return base.join(cross, "instance_id", "left").withColumn("cross_file", F.coalesce("cross_file", F.lit(0.0)))
-
-
 @query("gr18_graph_summary", "SELECT instance_id, n_nodes, round(mean_deg, 6) AS mean_deg, n_files, round(cross_file, 6) AS cross_file FROM gs", {"gs": GRAPH_SUMMARY_SQL})
 def _(c: Corpus) -> DataFrame:
-    return graph_summary(c).withColumn("mean_deg", F.round("mean_deg", 6)).withColumn("cross_file", F.round("cross_file", 6))
+    return M.graph_summary(c).withColumn("mean_deg", F.round("mean_deg", 6)).withColumn("cross_file", F.round("cross_file", 6))
 
 
 @query("gr19_radius", "SELECT instance_id, k, max(hop) AS radius, count(*) AS pool FROM reach GROUP BY ALL")
