@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from rankweave.functions.text import ident_tokens, qualified_name, words
+from rankweave.functions.text import IDENT, ident_tokens, qualified_name, words
+from rankweave.session import Workspace, spread
 
 K1, B = 1.5, 0.75
 
@@ -25,10 +26,13 @@ def bm25(docs: DataFrame, queries: DataFrame, group: str, doc: str, tokens: str,
     """``group, doc, score`` of every document, 0 without a match.
 
     ``queries`` has ``group, term``; repeated terms count once. Only postings of query terms are
-    kept before anything is aggregated, so the work follows the matches.
+    kept before anything is aggregated, so the work follows the matches. Tokens are read several
+    times and therefore written first.
     """
+    ws = Workspace(docs.sparkSession, "bm25")
+    docs, queries = ws.keep(docs.select(group, doc, tokens), "docs"), ws.keep(queries.select(group, "term"), "queries")
     terms = queries.select(group, "term").distinct()
-    hits = postings(docs, group, doc, tokens).join(terms, [group, "term"])
+    hits = ws.keep(postings(docs, group, doc, tokens).join(terms, [group, "term"]), "hits")
     df = hits.groupBy(group, "term").agg(F.count(F.lit(1)).alias("df"))
     lengths = docs.select(group, doc, F.size(tokens).alias("dl"))
     stats = corpus_stats(docs, group, tokens)
@@ -54,12 +58,15 @@ def name_documents(nodes: DataFrame) -> DataFrame:
 
 
 def issue_terms(instances: DataFrame) -> DataFrame:
-    return instances.select("instance_id", F.explode(ident_tokens(F.col("issue"))).alias("term")).distinct()
+    """``instance_id, term``: each identifier of an issue is split once, however often it occurs."""
+    found = F.regexp_extract_all(F.col("issue"), F.lit(IDENT), F.lit(0))
+    toks = spread(instances, "instance_id").select("instance_id", F.explode(found).alias("tok")).distinct()
+    return toks.select("instance_id", F.explode(ident_tokens(F.col("tok"))).alias("term")).distinct()
 
 
 def name_scores(nodes: DataFrame, instances: DataFrame) -> DataFrame:
     """``instance_id, idx, lex, lex_rank`` of the nodes of every instance that has an issue."""
-    docs = name_documents(nodes.join(instances.select("instance_id"), "instance_id", "left_semi"))
+    docs = name_documents(spread(nodes, "instance_id", "idx").join(instances.select("instance_id"), "instance_id", "left_semi"))
     return ranked(bm25(docs, issue_terms(instances), "instance_id", "idx", "tokens"), "instance_id", "idx")
 
 
@@ -73,17 +80,22 @@ def file_scores(nodes: DataFrame, instances: DataFrame) -> DataFrame:
 def tfidf_scores(nodes: DataFrame, instances: DataFrame) -> DataFrame:
     """``instance_id, idx, lex, lex_rank`` by TF-IDF cosine, the independent check of BM25."""
     tokens = F.concat(words(qualified_name(F.col("id"))), words(F.col("sig")))
-    docs = nodes.join(instances.select("instance_id"), "instance_id", "left_semi").select("instance_id", "idx", tokens.alias("tokens"))
+    known = spread(nodes, "instance_id", "idx").join(instances.select("instance_id"), "instance_id", "left_semi")
+    docs = known.select("instance_id", "idx", tokens.alias("tokens"))
+    ws = Workspace(nodes.sparkSession, "tfidf")
+    docs = ws.keep(docs, "docs")
     n = docs.groupBy("instance_id").agg(F.count(F.lit(1)).alias("n"))
     post = postings(docs, "instance_id", "idx", "tokens")
     df = post.groupBy("instance_id", "term").agg(F.count(F.lit(1)).alias("df"))
     weighted = post.join(df, ["instance_id", "term"]).join(n, "instance_id").select(
         "instance_id", "idx", "term", ((1 + F.log("tf")) * F.log(F.col("n") / (1 + F.col("df")))).alias("w")
     )
+    weighted = ws.keep(weighted, "weighted")
     norm = weighted.groupBy("instance_id", "idx").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    query = instances.select("instance_id", F.explode(words(F.col("issue"))).alias("term")).groupBy("instance_id", "term").agg(
+    query = spread(instances, "instance_id").select("instance_id", F.explode(words(F.col("issue"))).alias("term")).groupBy("instance_id", "term").agg(
         F.count(F.lit(1)).alias("qt")
     )
+    query = ws.keep(query, "query")
     qnorm = query.groupBy("instance_id").agg(F.sqrt(F.sum(F.col("qt") * F.col("qt"))).alias("qn"))
     dot = weighted.join(query, ["instance_id", "term"]).groupBy("instance_id", "idx").agg(F.sum(F.col("qt") * F.col("w")).alias("dot"))
     safe = F.when(F.col("norm") > 0, F.col("norm")).otherwise(F.lit(1.0))

@@ -76,3 +76,13 @@ class Workspace:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(kept: DataFrame, *keys: str) -> DataFrame:
+    """A kept table in at least as many partitions as there are cores.
+
+    For work that costs much time per byte, such as splitting texts into tokens: a table of a few
+    megabytes is one partition otherwise. A table with enough partitions stays as it is.
+    """
+    cores = kept.sparkSession.sparkContext.defaultParallelism
+    return kept if kept.rdd.getNumPartitions() >= cores else kept.repartition(cores, *keys)
