@@ -110,7 +110,7 @@ def p5_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "prediction_ranked").where(F.col("lexical").isNotNull() & ~F.isnan("lexical"))
     valid = latest(rows, ["instance_id", "node"], ["scored_at", "pred_id"], ["lexical", "hops"])
-    return top_n(valid, "instance_id", "lexical", ["hops", "node"], TOP)
+    return top_n(valid, "instance_id", "lexical", ["hops", "node"], TOP, unique=True)
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

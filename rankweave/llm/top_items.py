@@ -77,12 +77,12 @@ def _scan(pdf: pd.DataFrame, columns: list[str], n: int) -> pd.DataFrame:
     return best[columns]
 
 
-def top_n(items: DataFrame, group: str, score: str, ties: Sequence[str], n: int) -> DataFrame:
+def top_n(items: DataFrame, group: str, score: str, ties: Sequence[str], n: int, unique: bool = False) -> DataFrame:
     """``group, score, ties..., rank`` of the first n items of each group.
 
     Order: score descending, then each tie column ascending with null last. Rows whose group or
     score is null or whose score is NaN are ignored; rows that agree in all columns are one
-    item. Groups of any size are allowed: their row groups lie in many files, each file yields
+    item; ``unique`` says that there are none and saves a shuffle. Groups of any size are allowed: their row groups lie in many files, each file yields
     at most n candidates of a group, and only those meet.
     """
     spark = items.sparkSession
@@ -93,6 +93,7 @@ def top_n(items: DataFrame, group: str, score: str, ties: Sequence[str], n: int)
         (F.col(f"`{score}`").cast("double") + F.lit(0.0)).alias("_s"),
         *[F.col(f"`{t}`").alias(a) for t, a in zip(ties, names[2:], strict=True)],
     ).where(F.col("_g").isNotNull() & F.col("_s").isNotNull() & ~F.isnan("_s"))
+    slim = slim if unique else slim.distinct()
     kinds = {f.name: f.dataType for f in slim.schema.fields}
     clustered = slim.repartitionByRange(F.col("_g"), F.col("_s").desc()).sortWithinPartitions(
         F.col("_g"), F.col("_s").desc(), *[F.col(t).asc_nulls_last() for t in names[2:]]
@@ -119,8 +120,7 @@ def top_n(items: DataFrame, group: str, score: str, ties: Sequence[str], n: int)
     found = worth.groupBy("uri").applyInPandas(lambda pdf: _restore(_scan(pdf, names, n), schema), schema)
     order = Window.partitionBy("_g").orderBy(F.col("_s").desc(), *[F.col(t).asc_nulls_last() for t in names[2:]])
     return (
-        found.distinct()
-        .withColumn("rank", F.row_number().over(order))
+        found.withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= n)
         .select(
             F.col("_g").alias(group),
