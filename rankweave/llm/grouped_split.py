@@ -73,6 +73,7 @@ def allocate(bundles: Sequence[tuple[int, int]], shares: Sequence[float]) -> lis
     for 1; a component larger than a quota adds its excess, so large ones go where they fit.
     Successive shortest paths give the least cost. Whole components are then cut from the flow by
     rounding down, and what is left goes, largest first, where most of the quota is still open.
+    Last, single components change their split as long as that brings the sums nearer to the quotas.
     """
     k = len(shares)
     total = sum(s * c for s, c in bundles)
@@ -117,7 +118,22 @@ def allocate(bundles: Sequence[tuple[int, int]], shares: Sequence[float]) -> lis
             j = max(range(k), key=lambda j: open_[j])
             out[b][j] += 1
             open_[j] -= bundles[b][0]
-    return out
+    while True:
+        gain, best = 1e-6, None
+        for i in range(k):
+            for j in range(k):
+                for b, (s, _) in enumerate(bundles):
+                    if i != j and out[b][i]:
+                        g = abs(open_[i]) + abs(open_[j]) - abs(open_[i] + s) - abs(open_[j] - s)
+                        if g > gain:
+                            gain, best = g, (b, i, j)
+        if best is None:
+            return out
+        b, i, j = best
+        out[b][i] -= 1
+        out[b][j] += 1
+        open_[i] += bundles[b][0]
+        open_[j] -= bundles[b][0]
 
 
 def _move(flow: list, hand: list, cost: list, b: int, j: int, amount: int) -> None:

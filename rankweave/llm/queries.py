@@ -185,7 +185,7 @@ def p9_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by source that stay once the cases are left out, and how many went for what."""
     found = without_content(_residue(spark, sf_dir), "doc_id")
     docs = table(spark, sf_dir, "documents").select("doc_id", source_key(F.col("source")).alias("source"))
-    kind = F.coalesce(F.element_at(F.array(*map(F.lit, CLASS_NAMES)), F.col("class") + 1), F.lit("kept"))
+    kind = F.when(F.col("class").isNull(), "kept").otherwise(F.get(F.array(*map(F.lit, CLASS_NAMES)), F.col("class")))
     return docs.join(found, "doc_id", "left").groupBy("source", kind.alias("why")).agg(F.count(F.lit(1)).alias("documents"))
 
 
