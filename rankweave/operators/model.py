@@ -14,14 +14,15 @@ FOLDS = 5
 ROUNDS = 20
 
 
-def training_rows(c: Corpus) -> DataFrame:
+def training_rows(c: Corpus, folds_: int = FOLDS) -> DataFrame:
     """Pool nodes of usable instances with their features, the label and the fold.
 
-    Repositories are put in md5 order and dealt round the folds, so no repository is in two.
+    Repositories are put in md5 order and dealt round the folds, so no repository is in two; with
+    as many folds as repositories each is left out once.
     """
     repos = c.usable.select("repo").distinct()
     order = Window.orderBy(F.md5(F.coalesce("repo", F.lit(""))), "repo")  # one row a repository
-    folds = repos.withColumn("fold", (F.row_number().over(order) - 1) % FOLDS)
+    folds = repos.withColumn("fold", (F.row_number().over(order) - 1) % folds_)
     of = c.usable.select("instance_id", F.coalesce("repo", F.lit("")).alias("r")).join(
         folds.select(F.coalesce("repo", F.lit("")).alias("r"), "fold"), "r"
     )
@@ -30,15 +31,15 @@ def training_rows(c: Corpus) -> DataFrame:
     return rows.withColumn("label", F.coalesce("label", F.lit(0.0)))
 
 
-def rerank(c: Corpus, rounds: int = ROUNDS) -> DataFrame:
+def rerank(c: Corpus, rounds: int = ROUNDS, folds: int = FOLDS) -> DataFrame:
     """``instance_id, idx, fold, p, rank``: out-of-fold probability and the order by it.
 
     A fold whose training rows hold one label only is ordered by the lexical feature.
     """
-    rows = c.keep("training", lambda: training_rows(c))
+    rows = c.keep(f"training{folds}", lambda: training_rows(c, folds))
     assembled = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
     parts = []
-    for fold in range(FOLDS):
+    for fold in range(folds):
         train, test = assembled.where(F.col("fold") != fold), assembled.where(F.col("fold") == fold)
         if train.select("label").distinct().count() < 2:
             parts.append(test.select("instance_id", "idx", "fold", F.col("lex_norm").alias("p")))
@@ -50,4 +51,4 @@ def rerank(c: Corpus, rounds: int = ROUNDS) -> DataFrame:
     for x in parts[1:]:
         out = out.unionByName(x)
     order = Window.partitionBy("instance_id").orderBy(F.col("p").desc(), "idx")
-    return c.keep("reranked", lambda: out.withColumn("rank", F.row_number().over(order)))
+    return c.keep(f"reranked{folds}_{rounds}", lambda: out.withColumn("rank", F.row_number().over(order)))

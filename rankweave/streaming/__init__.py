@@ -1 +1 @@
-"""Part of rankweave."""
+"""Streams of evaluation rows."""
