@@ -106,7 +106,7 @@ def program_lines(lines: list[str]) -> list[bool]:
     """Which lines are program text without marks; a comment counts next to such a line."""
     code = [bool(_CODE_LINE.match(x)) and not re.match(r"^\s*[-*+]\s", x) for x in lines]
     # a sentence may begin like a statement
-    code = [c and not re.search(r"[a-z]{2,}\s+[a-z]{2,}\s+[a-z]{2,}[^'\"]*[.?!]$", x) for c, x in zip(code, lines, strict=True)]
+    code = [c and not (len(x) < 2_000 and re.search(r"[a-z]{2,}\s+[a-z]{2,}\s+[a-z]{2,}[^'\"]*[.?!]$", x)) for c, x in zip(code, lines, strict=True)]
     start = 0
     while start < len(lines):
         end = start
@@ -205,17 +205,17 @@ def _inline_code_and_math(text: str, shelf: _Shelf) -> str:
         return lambda m: shelf.put(tag, lang, m[m.lastindex].strip())
 
     text = re.sub(
-        rf"\\begin\{{((?:{_MATH_ENV})\*?)\}}(.*?)\\end\{{\1\}}", lambda m: shelf.put("formula", LATEX, m[2].strip(), "block"), text, flags=re.S
+        rf"\\begin\{{((?:{_MATH_ENV})\*?)\}}(.{{0,20000}}?)\\end\{{\1\}}", lambda m: shelf.put("formula", LATEX, m[2].strip(), "block"), text, flags=re.S
     )
-    text = re.sub(r"\\\[(.+?)\\\]", lambda m: shelf.put("formula", LATEX, m[1].strip(), "block"), text, flags=re.S)
+    text = re.sub(r"\\\[(.{1,5000}?)\\\]", lambda m: shelf.put("formula", LATEX, m[1].strip(), "block"), text, flags=re.S)
     text = re.sub(r"(?<![\\$])\$\$([^$]+?)\$\$", lambda m: shelf.put("formula", LATEX, m[1].strip(), "block"), text, flags=re.S)
-    text = re.sub(r"\\\((.+?)\\\)", put("formula", LATEX), text, flags=re.S)
+    text = re.sub(r"\\\((.{1,5000}?)\\\)", put("formula", LATEX), text, flags=re.S)
     text = re.sub(r"\{\{\{([^\n]+?)\}\}\}", put("icode", WIKI), text)
     text = re.sub(r"(?<!`)(`+)(?!`)([^\n]+?)(?<!`)\1(?!`)", put("icode", MARKDOWN), text)
     text = re.sub(r"<(nowiki|syntaxhighlight|source)\b[^>]*>(.*?)</\1>", put("icode", WIKI), text, flags=re.S | re.I)
     text = re.sub(r"\\verb\*?([|!+@])(.+?)\1", put("icode", LATEX), text)
     text = re.sub(
-        r"<(code|tt|kbd|samp)\b[^>]*>(.*?)</\1\s*>",
+        r"<(code|tt|kbd|samp)\b[^>]{0,500}>(.{0,20000}?)</\1\s*>",
         lambda m: shelf.put("code" if "\n" in m[2] else "icode", HTML, html.unescape(re.sub(r"<[^>]*>", "", m[2]))),
         text, flags=re.S | re.I,
     )
@@ -355,22 +355,23 @@ def _lines(node: Node) -> None:
         i += 1
 
 
-# Marks inside a line: pattern, language, what stays.
+# Marks inside a line: pattern, language, what stays. What a mark encloses is bounded, so that a
+# line of nothing but opening brackets takes no quadratic time.
 _MARKS: tuple[tuple[re.Pattern, str, str], ...] = (
     (re.compile(r"(?<![\w\\])\{(quote|color|panel|note|info|tip|warning|anchor)(?::[^}\n]*)?\}"), WIKI, ""),
     (re.compile(r"(?<![\w\]])!\[([^\]\n]*)\]\([^)\s]+(?:\s+\"[^\"]*\")?\)"), MARKDOWN, r"\1"),
-    (re.compile(r"\[\[(?:Image|File|Datei|Fichier|Archivo)[:(]([^\]\n]+?)\)?\]\]", re.I), WIKI, r"\1"),
-    (re.compile(r"(?<![\w\])])\[\[(?!\s*\d)(?:[^\]|\n]*\|)?([^\]|\n]+)\]\]"), WIKI, r"\1"),
-    (re.compile(r"(?<![\w\])])\[(?:https?|ftp|mailto|wiki|ticket|source):\S+\s+([^\]\n]+)\]"), WIKI, r"\1"),
-    (re.compile(r"(?<![\w\])])\[([^\]|\n]+)\|(?:https?://|[#^~]|mailto:)[^\]\n]+\]"), WIKI, r"\1"),
-    (re.compile(r"(?<![\w\])])\[([^\]\n]+)\]\((?!\s)[^)\n]*[^)\s]\)"), MARKDOWN, r"\1"),
-    (re.compile(r"(?<![\w\])])\[([^\]\n]+)\]\[[^\]\n]*\]"), MARKDOWN, r"\1"),
-    (re.compile(r"(?<![\w{$#])\{\{(?!\{)([^{}|\n]+)\}\}(?!\})"), WIKI, r"\1"),
-    (re.compile(r"(?<![\w{$#])\{\{(?!\{)([^{}|\n]+)\|([^{}\n]*)\}\}(?!\})"), WIKI, r"\2"),
-    (re.compile(r"(?<![\w'=(\[])'''(?![\s'])([^'\n]+?)(?<!\s)'''(?![\w'])"), WIKI, r"\1"),
-    (re.compile(r"(?<![\w'=(\[])''(?![\s'])([^'\n]+?)(?<!\s)''(?![\w'])"), WIKI, r"\1"),
-    (re.compile(r"(?<![\w*/\\])(\*{1,3})(?![\s*])([^*\n]+?)(?<![\s*])\1(?![\w*])"), MARKDOWN, r"\2"),
-    (re.compile(r"(?<![\w~])~~(?![\s~])([^~\n]+?)(?<![\s~])~~(?![\w~])"), MARKDOWN, r"\1"),
+    (re.compile(r"\[\[(?:Image|File|Datei|Fichier|Archivo)[:(]([^\]\n]{1,200}?)\)?\]\]", re.I), WIKI, r"\1"),
+    (re.compile(r"(?<![\w\])])\[\[(?!\s*\d)(?:[^\]|\n]*\|)?([^\]|\n]{1,200})\]\]"), WIKI, r"\1"),
+    (re.compile(r"(?<![\w\])])\[(?:https?|ftp|mailto|wiki|ticket|source):\S+\s+([^\]\n]{1,200})\]"), WIKI, r"\1"),
+    (re.compile(r"(?<![\w\])])\[([^\]|\n]{1,200})\|(?:https?://|[#^~]|mailto:)[^\]\n]{1,200}\]"), WIKI, r"\1"),
+    (re.compile(r"(?<![\w\])])\[([^\]\n]{1,200})\]\((?!\s)[^)\n]*[^)\s]\)"), MARKDOWN, r"\1"),
+    (re.compile(r"(?<![\w\])])\[([^\]\n]{1,200})\]\[[^\]\n]*\]"), MARKDOWN, r"\1"),
+    (re.compile(r"(?<![\w{$#])\{\{(?!\{)([^{}|\n]{1,200})\}\}(?!\})"), WIKI, r"\1"),
+    (re.compile(r"(?<![\w{$#])\{\{(?!\{)([^{}|\n]{1,200})\|([^{}\n]*)\}\}(?!\})"), WIKI, r"\2"),
+    (re.compile(r"(?<![\w'=(\[])'''(?![\s'])([^'\n]{1,200}?)(?<!\s)'''(?![\w'])"), WIKI, r"\1"),
+    (re.compile(r"(?<![\w'=(\[])''(?![\s'])([^'\n]{1,200}?)(?<!\s)''(?![\w'])"), WIKI, r"\1"),
+    (re.compile(r"(?<![\w*/\\])(\*{1,3})(?![\s*])([^*\n]{1,200}?)(?<![\s*])\1(?![\w*])"), MARKDOWN, r"\2"),
+    (re.compile(r"(?<![\w~])~~(?![\s~])([^~\n]{1,200}?)(?<![\s~])~~(?![\w~])"), MARKDOWN, r"\1"),
     (re.compile(r"(?<!\w)!(\S+\.(?:png|jpe?g|gif|svg))(?:\|[^!\n]*)?!(?!\w)"), WIKI, r"\1"),
     (re.compile(r"\\href\{[^{}]*\}\{([^{}]*)\}"), LATEX, r"\1"),
     (re.compile(r"\\(?:section|subsection|subsubsection|chapter|paragraph)\*?\{([^{}\n]*)\}"), LATEX, r"\1"),

@@ -31,7 +31,7 @@ _F = re.IGNORECASE
 
 # ---- placeholders
 
-_NAME = r"[A-Za-z_][\w .|-]*"
+_NAME = r"[A-Za-z_][\w .|-]{0,60}"
 SLOTS = re.compile(
     "|".join(
         (
@@ -198,7 +198,7 @@ _PLAIN = re.compile(r"(?<![\w.])[^\W\d_]{2,}(?![\w(])")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+(?=\S)")
 _TAGS = re.compile(r"</?(html|head|body|title|h[1-6]|p|div|span|center|hr|br|noscript)\b[^>]*>", _F)
 _MASKS = (
-    (re.compile(r"https?://\S+|www\.\S+|\S+@\S+\.\w+", _F), "\0a"),
+    (re.compile(r"https?://\S+|www\.\S+|(?<![\w.+-])[\w.+-]{1,64}@[\w-]{1,64}\.[\w.-]*\w", _F), "\0a"),
     (re.compile(r"\d{4}-\d\d-\d\d([Tt ]\d\d:\d\d(:\d\d)?\S*)?|\d\d?[./]\d\d?[./]\d{2,4}|\b\d\d?:\d\d(:\d\d)?\b"), "\0d"),
     (re.compile(r"\b(?=[0-9a-f]*\d)[0-9a-f]{6,}\b|\d+(\.\d+)*", _F), "\0n"),
 )

@@ -61,6 +61,9 @@ def test_odd_texts():
     assert M.clean("```\nnever closed").languages == ["markdown"]
     assert M.clean("{{{\nnever closed").languages == ["wiki"]
     assert "word" in M.clean("word " * 100_000).text
+    for hard in ("[", "{{", "''", "*a", "\\(", "<code>", "x = aaa bbb ccc ", "$a", "| "):
+        assert M.clean(hard * 4_000).text is not None
+        R.document_segments(hard * 4_000)
     assert M.clean("</p></td>").languages == ["html"]
 
 
