@@ -243,10 +243,10 @@ def _(c: Corpus) -> DataFrame:
                       "worsened", "unchanged", F.round(S.mcnemar_p(F.col("improved"), F.col("worsened")), 9).alias("pvalue"))
 
 
-@query("rk17_first_gain", "SELECT min(budget) AS first_budget FROM (SELECT budget FROM pol GROUP BY budget HAVING sum(mix) > sum(lex))", _POLICY)
+@query("rk17_first_gain", "SELECT CAST(min(budget) AS DOUBLE) AS first_budget FROM (SELECT budget FROM pol GROUP BY budget HAVING sum(mix) > sum(lex))", _POLICY)
 def _(c: Corpus) -> DataFrame:
     sums = policy_hits(c).groupBy("budget").agg(F.sum("mix").alias("m"), F.sum("lex").alias("l"))
-    return sums.agg(F.min(F.when(F.col("m") > F.col("l"), F.col("budget"))).alias("first_budget"))
+    return sums.agg(F.min(F.when(F.col("m") > F.col("l"), F.col("budget"))).cast("double").alias("first_budget"))
 
 
 # ---- hops and ranks
