@@ -93,7 +93,7 @@ def p4_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tf_idf(graph_terms(table(spark, sf_dir, "graph_nodes")), "instance_id", "id", "term")
+    return tf_idf(graph_terms(table(spark, sf_dir, "graph_nodes")), "instance_id", "id", "term", unique=True)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

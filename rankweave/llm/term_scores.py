@@ -12,21 +12,20 @@ from rankweave.session import Workspace
 COMMON = 0.01
 
 
-def tf_idf(units: DataFrame, record: str, unit: str, term: str) -> DataFrame:
+def tf_idf(units: DataFrame, record: str, unit: str, term: str, unique: bool = False) -> DataFrame:
     """``record, term, tf, df, score`` of each term of each record.
 
     ``units`` has a row for each occurrence: tf is the number of different units of the record
     that hold the term, df the number of records that do, N the number of records with a term.
     score = tf * ln((N + 1) / (df + 0.5)), divided by the Euclidean length of the record's
-    scores. Rows with a null record, unit or term are ignored; repeated rows count once; an
-    empty table gives no row.
+    scores. Rows with a null record, unit or term are ignored; repeated rows count once
+    (``unique`` says that there are none and saves a shuffle); an empty table gives no row.
     """
     ws = Workspace(units.sparkSession, "tfidf")
-    occurs = (
-        units.select(F.col(f"`{record}`").alias("_r"), F.col(f"`{unit}`").alias("_u"), F.col(f"`{term}`").alias("_t"))
-        .dropna()
-        .distinct()
-    )
+    occurs = units.select(
+        F.col(f"`{record}`").alias("_r"), F.col(f"`{unit}`").alias("_u"), F.col(f"`{term}`").alias("_t")
+    ).dropna()
+    occurs = occurs if unique else occurs.distinct()
     tf = ws.keep(occurs.groupBy("_r", "_t").agg(F.count(F.lit(1)).alias("_tf")), "tf")
     n = tf.agg(F.count_distinct("_r").alias("_n"))
     df = ws.keep(tf.groupBy("_t").agg(F.count(F.lit(1)).alias("_df")).crossJoin(F.broadcast(n)), "df")
@@ -52,8 +51,13 @@ def tf_idf(units: DataFrame, record: str, unit: str, term: str) -> DataFrame:
 
 
 def graph_terms(nodes: DataFrame) -> DataFrame:
-    """``instance_id, id, term``: identifier tokens of name and signature of each kept node."""
+    """``instance_id, id, term``: identifier tokens of name and signature of each kept node, each once.
+
+    Rows of one node are brought together before their texts are split, so the long ids cross the
+    network once and not with every term.
+    """
     kept = nodes.where(F.col("kind").isin("function", "class") & ~F.coalesce("test", F.lit(False)))
-    texts = kept.select("instance_id", "id", F.coalesce("sig", F.lit("")).alias("sig")).distinct()
-    toks = F.array_distinct(F.concat(ident_tokens(qualified_name(F.col("id"))), ident_tokens(F.col("sig"))))
-    return texts.select("instance_id", "id", F.explode(toks).alias("term"))
+    one = kept.groupBy("instance_id", "id").agg(F.collect_set("sig").alias("sigs"))
+    sigs = F.flatten(F.transform("sigs", lambda s: ident_tokens(s)))
+    toks = F.array_distinct(F.concat(ident_tokens(qualified_name(F.col("id"))), sigs))
+    return one.select("instance_id", "id", F.explode(toks).alias("term"))
