@@ -63,6 +63,27 @@ def test_recall_and_cosines(spark):
     assert all(sorted(r for r, _ in v.values()) == list(range(1, 11)) for v in got.values())
 
 
+def test_probes_do_not_fall_with_size():
+    counts = [N.probe_count(n) for n in (7_000, 20_000, 200_000, 2_000_000, 4_000_000)]
+    assert min(counts) >= 6 and counts == sorted(counts)
+    divided = [N.probe_count(levels * N.PER_LEVEL, levels) for levels in (2, 4, 8, 20, 64)]
+    assert divided[0] > counts[-1] and divided == sorted(set(divided))
+
+
+@pytest.mark.parametrize("second", [2, 4, 8])
+def test_recall_of_divided_buckets(second):
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((50, 64)) * 2
+    x = centres[rng.integers(0, 50, 40_000)] + rng.standard_normal((40_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    s = x[:200] @ x.T
+    s[np.arange(200), np.arange(200)] = -9
+    near = np.argsort(-s, axis=1)[:, :10]
+    where = N.probes((x - x.mean(axis=0)).astype(np.float32), N.probe_count(second * N.PER_LEVEL, second), second)
+    met = (where[:200, None, :, None] == where[near][:, :, None, :]).any(axis=(2, 3))
+    assert met.mean() >= 0.9
+
+
 def test_sub_blocks_lose_nothing(spark, monkeypatch):
     rng = np.random.default_rng(2)
     x = rng.standard_normal((900, 64)) + 3  # one crowded direction
