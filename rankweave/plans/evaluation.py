@@ -576,34 +576,68 @@ boot AS MATERIALIZED (SELECT r.rep, k.k, avg(t.direct) AS direct, avg(t.exp1) AS
 _BI = {"bi": "SELECT instance_id, k, direct, exp1, exp2, row_number() OVER (PARTITION BY k ORDER BY instance_id) - 1 AS i FROM t_hit"}
 
 
+#: Resamples of the published intervals; the SQL of st3 and st4 has 200.
+RESAMPLES = 4_000
+_ARMS = [(k, x) for k in (1, 5, 20, 50) for x in ("direct", "exp1", "exp2")]
+
+
 def bootstrap(c: Corpus, reps: int = 200) -> DataFrame:
-    """``rep, k, direct, exp1, exp2``: means of resamples drawn by md5 of repetition and position."""
-    index = Window.partitionBy("k").orderBy("instance_id")  # one row per instance
-    rows = set_hits(c).withColumn("i", F.row_number().over(index) - 1)
+    """``rep, k, direct, exp1, exp2``: means of resamples drawn by md5 of repetition and position.
+
+    The twelve outcomes of an instance are one number, sent to all executors; draws are counted
+    by repetition and outcomes before the shuffle.
+    """
+    flag = [F.max(F.when(F.col("k") == k, F.col(x))).cast("int") * (1 << b) for b, (k, x) in enumerate(_ARMS)]
+    per = set_hits(c).groupBy("instance_id").agg(sum(flag[1:], flag[0]).alias("bits"))
+    rows = per.select("bits", (F.row_number().over(Window.orderBy("instance_id")) - 1).cast("bigint").alias("i"))
     m = c.usable.agg(F.count(F.lit(1)).alias("m"))
-    draws = m.select("m", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep")).select("rep", "m", F.explode(F.expr("sequence(0, m - 1)")).alias("j"))
+    tasks = min(reps, 4 * c.spark.sparkContext.defaultParallelism)
+    draws = c.spark.range(0, reps, 1, tasks).toDF("rep").crossJoin(F.broadcast(m)).select("rep", "m", F.explode(F.expr("sequence(0, m - 1)")).alias("j"))
     pick = F.pmod(S.md5_number(F.concat_ws("|", F.col("rep").cast("string"), F.col("j").cast("string"))), F.col("m"))
-    drawn = draws.select("rep", pick.cast("int").alias("i"))
-    return drawn.join(rows, "i").groupBy("rep", "k").agg(*[F.avg(x).alias(x) for x in ("direct", "exp1", "exp2")])
+    drawn = draws.select(F.col("rep").cast("int").alias("rep"), pick.alias("i"))
+    n = drawn.join(F.broadcast(rows), "i").groupBy("rep", "bits").agg(F.count(F.lit(1)).alias("n"))
+    of = [F.struct(F.lit(k).alias("k"), *[F.expr(f"shiftright(bits, {b}) & 1").alias(x) for b, (k_, x) in enumerate(_ARMS) if k_ == k]) for k in (1, 5, 20, 50)]
+    long = n.where("n > 0").select("rep", "n", F.inline(F.array(*of)))
+    return long.groupBy("rep", "k").agg(*[(F.sum(F.col("n") * F.col(x)) / F.sum("n")).alias(x) for x in ("direct", "exp1", "exp2")])
 
 
 _BOOT_FINAL = "SELECT k, round(avg(exp2 - direct), 6) AS mean, round(quantile_cont(exp2 - direct, 0.025), 6) AS lo, round(quantile_cont(exp2 - direct, 0.975), 6) AS hi FROM boot GROUP BY k"
 
 
-@query("st3_bootstrap_gain", _BOOT_FINAL, _SETS | _BI | {"boot": _BOOT.split("MATERIALIZED (", 1)[1][:-1]})
-def _(c: Corpus) -> DataFrame:
+def _gain(c: Corpus, reps: int) -> DataFrame:
     g = F.col("exp2") - F.col("direct")
-    got = bootstrap(c).groupBy("k").agg(F.avg(g).alias("m"), F.percentile(g, [0.025, 0.975]).alias("p"))
+    got = bootstrap(c, reps).groupBy("k").agg(F.avg(g).alias("m"), F.percentile(g, [0.025, 0.975]).alias("p"))
     return got.select("k", F.round("m", 6).alias("mean"), F.round(F.col("p")[0], 6).alias("lo"), F.round(F.col("p")[1], 6).alias("hi"))
 
 
-@query("st4_bootstrap_arms", "SELECT k, round(avg(direct), 6) AS direct, round(avg(exp1), 6) AS exp1, round(avg(exp2), 6) AS exp2, round(avg(exp1 - direct), 6) AS gain1, round(quantile_cont(direct, 0.025), 6) AS direct_lo, round(quantile_cont(direct, 0.975), 6) AS direct_hi FROM boot GROUP BY k", _SETS | _BI | {"boot": _BOOT.split("MATERIALIZED (", 1)[1][:-1]})
+@query("st3_bootstrap_gain", _BOOT_FINAL, _SETS | _BI | {"boot": _BOOT.split("MATERIALIZED (", 1)[1][:-1]})
 def _(c: Corpus) -> DataFrame:
-    got = bootstrap(c).groupBy("k").agg(*[F.round(F.avg(x), 6).alias(x) for x in ("direct", "exp1", "exp2")],
-                                        F.round(F.avg(F.col("exp1") - F.col("direct")), 6).alias("gain1"), F.percentile("direct", [0.025, 0.975]).alias("p"))
+    return _gain(c, 200)
+
+
+def _arms(c: Corpus, reps: int) -> DataFrame:
+    got = bootstrap(c, reps).groupBy("k").agg(*[F.round(F.avg(x), 6).alias(x) for x in ("direct", "exp1", "exp2")],
+                                              F.round(F.avg(F.col("exp1") - F.col("direct")), 6).alias("gain1"), F.percentile("direct", [0.025, 0.975]).alias("p"))
     return got.select("k", "direct", "exp1", "exp2", "gain1", F.round(F.col("p")[0], 6).alias("direct_lo"), F.round(F.col("p")[1], 6).alias("direct_hi"))
 
 
+@query("st4_bootstrap_arms", "SELECT k, round(avg(direct), 6) AS direct, round(avg(exp1), 6) AS exp1, round(avg(exp2), 6) AS exp2, round(avg(exp1 - direct), 6) AS gain1, round(quantile_cont(direct, 0.025), 6) AS direct_lo, round(quantile_cont(direct, 0.975), 6) AS direct_hi FROM boot GROUP BY k", _SETS | _BI | {"boot": _BOOT.split("MATERIALIZED (", 1)[1][:-1]})
+def _(c: Corpus) -> DataFrame:
+    return _arms(c, 200)
+
+
+@query("st3_bootstrap_gain_4000")
+def _(c: Corpus) -> DataFrame:
+    """As ``st3_bootstrap_gain``, with all the resamples of the published interval."""
+    return _gain(c, RESAMPLES)
+
+
+@query("st4_bootstrap_arms_4000")
+def _(c: Corpus) -> DataFrame:
+    """As ``st4_bootstrap_arms``, with all the resamples of the published interval."""
+    return _arms(c, RESAMPLES)
+
+
 @query("st2_mcnemar", f"""
 SELECT k, gained, lost, round({S.mcnemar_sql("gained", "lost")}, 9) AS pvalue FROM (
   SELECT k, count(*) FILTER (exp2 > direct) AS gained, count(*) FILTER (exp2 < direct) AS lost FROM t_hit GROUP BY k)""", _SETS)
