@@ -8,13 +8,14 @@ Which part of the tree is the document is decided by composite text density: cha
 of a node, lowered by the share of characters and tags in links; the node with the greatest sum
 of its children's densities holds the document, and the least density on the path from it to the
 body is the threshold. A statement has no page around it as a rule, so headings, lists, code,
-formulas, quotes and tables are kept wherever they stand; what falls below the threshold is
-running text in link-ridden parts, such as a bar of page links.
+formulas, quotes and tables are kept wherever they stand; what falls below the threshold goes only
+in parts of several links whose characters are mostly link text, such as a bar of page links.
 """
 
 from __future__ import annotations
 
 import html
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -406,6 +407,10 @@ def _inline(node: Node) -> None:
 _KEEP = frozenset("heading item quote table row cell code icode plaincode formula h1 h2 h3 h4 h5 h6 li pre blockquote td th dd dt summary".split())
 
 
+# Tags that stand inside a line of text.
+_RUNNING = frozenset("a abbr address b br cite code comment del dfn em font i img input ins kbd mark q s samp small span stray strike strong sub sup tt u var".split())
+
+
 def _measure(node: Node, sums: dict[int, tuple[int, int, int, int]]) -> tuple[int, int, int, int]:
     """Characters, tags, link characters and link tags below a node."""
     c, t, lc, lt = len(_HELD.sub("code", node.text).strip()), 0, 0, 0
@@ -447,14 +452,34 @@ def select(body: Node) -> float:
         threshold = min(threshold, up.density)
         up = up.parent
 
-    def keep(node: Node, safe: bool) -> None:
-        safe = safe or node.tag in _KEEP or bool(_HELD.search(node.text))
-        node.kept = safe or node.density >= threshold or node.tag in ("body", "gap", "lines")
-        linked = sums[id(node)][2] > 0
-        for x in node.children:
-            keep(x, safe or not linked)
+    plain: dict[int, bool] = {}  # nothing but running text below
 
-    keep(body, not sums[id(body)][2])
+    def running(node: Node) -> bool:
+        below = [running(x) for x in node.children]
+        plain[id(node)] = node.tag in ("text", "lines") or (node.tag in _RUNNING and all(below))
+        return plain[id(node)]
+
+    def mostly_links(run: list[Node], around: bool) -> bool:
+        c, _, lc, lt = (sum(v) for v in zip(*(sums[id(x)] for x in run), strict=True))
+        return 2 * lc > c and (lt > 1 or around)
+
+    def keep(node: Node, safe: bool, bar: bool) -> None:
+        safe = safe or node.tag in _KEEP or bool(_HELD.search(node.text))
+        node.kept = safe or not bar or node.density >= threshold or node.tag in ("body", "gap", "lines")
+        if plain.get(id(node), True):
+            for x in node.children:
+                keep(x, safe, bar)
+            return
+        # a link counts with the text it stands in
+        for inline, part in itertools.groupby(node.children, lambda x: plain[id(x)]):
+            nodes = list(part)
+            for run in [nodes] if inline else [[x] for x in nodes]:
+                of = mostly_links(run, bar)
+                for x in run:
+                    keep(x, safe, of)
+
+    running(body)
+    keep(body, not sums[id(body)][2], False)
     return threshold
 
 

@@ -53,6 +53,20 @@ def test_link_bars_go_and_text_stays():
     assert "menu 7" not in got.text and got.text.count("content of the page") == 30
 
 
+def test_links_in_text_stay():
+    body = "".join(f"<p>{'A sentence of the statement. ' * 7}</p>" for _ in range(10))
+    inline = "<p>See <a href=x>the manual</a> for details of it.</p>"
+    assert "See the manual for details of it." in M.clean(body + inline).text
+    assert "Read the long report of the case" in M.clean(f"{body}<p>Read <a href=x>the long report of the case</a></p>").text
+    plain = M.clean(f"{'A long line of the statement. ' * 20}\n\nSee <a href=x>the manual</a> for it.\n\n<b>Short</b>").text
+    assert all(x in plain for x in ("See", "the manual", "for it.", "Short"))
+    bar = "<div>" + " | ".join(f"<a href={i}>page {i}</a>" for i in range(30)) + "</div>"
+    nested = "<div>" + "".join(f"<div><a href={i}>part {i}</a></div>" for i in range(30)) + inline + "</div>"
+    got = M.clean(f"<html><body>{bar}{nested}{body}{inline}</body></html>").text
+    assert "page 7" not in got and "part 7" not in got
+    assert got.count("See the manual for details of it.") == 2 and got.count("A sentence") == 70
+
+
 def test_odd_texts():
     assert M.clean(None) is None
     assert M.clean("").text == ""
