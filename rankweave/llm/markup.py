@@ -18,7 +18,7 @@ import html
 import itertools
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -100,14 +100,20 @@ _CODE_LINE = re.compile(
     )""",
     re.X,
 )
+_THREE_WORDS = re.compile(r"(?<![a-z])[a-z]{2,}\s+[a-z]{2,}\s+[a-z]{2,}")
 _COMMENT = re.compile(r"^\s*(?:#|//|--)\s?(?!#)")
 
 
+def _sentence(line: str) -> bool:
+    """Whether three words in a row and no quote after them lead up to a full stop."""
+    return line[-1:] in (".", "?", "!") and bool(_THREE_WORDS.search(line, max(line.rfind("'"), line.rfind('"')) + 1, len(line) - 1))
+
+
 def program_lines(lines: list[str]) -> list[bool]:
     """Which lines are program text without marks; a comment counts next to such a line."""
     code = [bool(_CODE_LINE.match(x)) and not re.match(r"^\s*[-*+]\s", x) for x in lines]
     # a sentence may begin like a statement
-    code = [c and not (len(x) < 2_000 and re.search(r"[a-z]{2,}\s+[a-z]{2,}\s+[a-z]{2,}[^'\"]*[.?!]$", x)) for c, x in zip(code, lines, strict=True)]
+    code = [c and not _sentence(x) for c, x in zip(code, lines, strict=True)]
     start = 0
     while start < len(lines):
         end = start
@@ -201,30 +207,76 @@ def _block_code(text: str, shelf: _Shelf) -> str:
     return "\n".join(out)
 
 
+class _Next:
+    """The next match of a pattern; the positions asked for must not fall."""
+
+    def __init__(self, pattern: str, text: str):
+        self.search, self.text = re.compile(pattern).search, text
+        self.found = self.search(text)
+
+    def __call__(self, pos: int) -> re.Match | None:
+        if self.found and self.found.start() < pos:
+            self.found = self.search(self.text, pos)
+        return self.found
+
+
+_MATH_BEGIN = re.compile(rf"\\begin\{{((?:{_MATH_ENV})\*?)\}}")
+_DISPLAY = re.compile(r"\\\[")
+_PAREN = re.compile(r"\\\(")
+_HTML_CODE = re.compile(r"<(code|tt|kbd|samp)\b", re.I)
+
+
+def _enclosed(
+    text: str, opening: re.Pattern, closing: Callable[[re.Match], str], put: Callable[[re.Match, str], str], least: int = 0, head: str = ""
+) -> str:
+    """Replaces each opening mark with all up to the next closing one; one that isn't closed stays.
+
+    ``least`` characters are enclosed at least; ``head`` ends the opening mark. Every closing mark
+    is looked for once, so the time is linear whatever is enclosed.
+    """
+    out, pos, done = [], 0, 0
+    ends: dict[str, _Next] = {}
+    heads = _Next(re.escape(head), text)
+    while m := opening.search(text, pos):
+        pos = m.end()
+        begin = heads(pos)
+        if begin is None:
+            break
+        start = begin.end() if head else pos
+        close = closing(m)
+        if close not in ends:
+            ends[close] = _Next(close, text)
+        end = ends[close](start + least)
+        if end is not None:
+            out += text[done : m.start()], put(m, text[start : end.start()])
+            done = pos = end.end()
+    return "".join([*out, text[done:]])
+
+
 def _inline_code_and_math(text: str, shelf: _Shelf) -> str:
     def put(tag: str, lang: str):
         return lambda m: shelf.put(tag, lang, m[m.lastindex].strip())
 
-    text = re.sub(
-        rf"\\begin\{{((?:{_MATH_ENV})\*?)\}}(.{{0,20000}}?)\\end\{{\1\}}", lambda m: shelf.put("formula", LATEX, m[2].strip(), "block"), text, flags=re.S
-    )
-    text = re.sub(r"\\\[(.{1,5000}?)\\\]", lambda m: shelf.put("formula", LATEX, m[1].strip(), "block"), text, flags=re.S)
+    def block(m: re.Match, inner: str) -> str:
+        return shelf.put("formula", LATEX, inner.strip(), "block")
+
+    text = _enclosed(text, _MATH_BEGIN, lambda m: re.escape(f"\\end{{{m[1]}}}"), block)
+    text = _enclosed(text, _DISPLAY, lambda m: r"\\\]", block, 1)
     text = re.sub(r"(?<![\\$])\$\$([^$]+?)\$\$", lambda m: shelf.put("formula", LATEX, m[1].strip(), "block"), text, flags=re.S)
-    text = re.sub(r"\\\((.{1,5000}?)\\\)", put("formula", LATEX), text, flags=re.S)
+    text = _enclosed(text, _PAREN, lambda m: r"\\\)", lambda m, inner: shelf.put("formula", LATEX, inner.strip()), 1)
     text = re.sub(r"\{\{\{([^\n]+?)\}\}\}", put("icode", WIKI), text)
     text = re.sub(r"(?<!`)(`+)(?!`)([^\n]+?)(?<!`)\1(?!`)", put("icode", MARKDOWN), text)
     text = re.sub(r"<(nowiki|syntaxhighlight|source)\b[^>]*>(.*?)</\1>", put("icode", WIKI), text, flags=re.S | re.I)
     text = re.sub(r"\\verb\*?([|!+@])(.+?)\1", put("icode", LATEX), text)
-    text = re.sub(
-        r"<(code|tt|kbd|samp)\b[^>]{0,500}>(.{0,20000}?)</\1\s*>",
-        lambda m: shelf.put("code" if "\n" in m[2] else "icode", HTML, html.unescape(re.sub(r"<[^>]*>", "", m[2]))),
-        text, flags=re.S | re.I,
+    text = _enclosed(
+        text, _HTML_CODE, lambda m: rf"(?i:</{m[1].lower()}\s*>)",
+        lambda m, inner: shelf.put("code" if "\n" in inner else "icode", HTML, html.unescape(re.sub(r"<[^>]*>", "", inner))), head=">",
     )
 
     def dollars(m: re.Match) -> str:
         return shelf.put("formula", LATEX, m[1]) if _MATHY.search(m[1]) else m[0]
 
-    return re.sub(r"(?<![\\$\w])\$(?!\s)([^$\n]{1,200}?)(?<![\s\\])\$(?![\w$])", dollars, text)
+    return re.sub(r"(?<![\\$\w])\$(?!\s)([^$\n]+?)(?<![\s\\])\$(?![\w$])", dollars, text)
 
 
 # ---------------------------------------------------------------- the tree
@@ -356,23 +408,64 @@ def _lines(node: Node) -> None:
         i += 1
 
 
-# Marks inside a line: pattern, language, what stays. What a mark encloses is bounded, so that a
-# line of nothing but opening brackets takes no quadratic time.
-_MARKS: tuple[tuple[re.Pattern, str, str], ...] = (
+class _Link:
+    """A mark whose label may hold further opening brackets, with a ``sub`` like that of a pattern.
+
+    The label goes from ``opening`` to the next of the characters ``stop``, where ``after`` must
+    match; with ``close`` all up to that character, on the same line, belongs to the mark. What
+    follows a stop is looked at once, so a line of nothing but brackets takes linear time.
+    """
+
+    def __init__(self, opening: str, stop: str, after: str, close: str = "", least: int = 1, pipe: bool = False, label: Callable[[str], str] = str):
+        self.opening, self.stop, self.after = re.compile(opening), stop, re.compile(after)
+        self.close, self.least, self.pipe, self.label = close, least, pipe, label
+
+    def sub(self, kept: str, s: str) -> str:
+        out, pos, done, at, end, bars = [], 0, 0, -1, None, (-1, -1)
+        stops, closes = _Next(self.stop, s), _Next(rf"[{re.escape(self.close)}\n]", s)
+        while m := self.opening.search(s, pos):
+            pos, begin, stop = m.start() + 1, m.end(), stops(m.end())
+            if stop is None:
+                break
+            if stop.start() != at:
+                at = stop.start()
+                end = self._end(s, at, closes)
+                last = s.rfind("|", begin, at) if self.pipe else -1
+                bars = last, s.rfind("|", begin, last) if last >= 0 else -1
+            if end is None or bars[1] >= begin or max(begin, bars[0] + 1) >= at:
+                continue
+            out += s[done : m.start()], self.label(s[max(begin, bars[0] + 1) : at])
+            done = pos = end
+        return "".join([*out, s[done:]])
+
+    def _end(self, s: str, at: int, closes: _Next) -> int | None:
+        m = self.after.match(s, at)
+        if m is None or not self.close:
+            return m and m.end()
+        c = closes(m.end())
+        fits = c is not None and c[0] == self.close and c.start() - m.end() >= self.least
+        # an address in parentheses doesn't end in a space
+        return c.end() if fits and not (self.close == ")" and s[c.start() - 1].isspace()) else None
+
+
+_BRACKET = r"(?<![\w\])])\["
+
+# Marks inside a line: pattern, language, what stays.
+_MARKS: tuple[tuple[re.Pattern | _Link, str, str], ...] = (
     (re.compile(r"(?<![\w\\])\{(quote|color|panel|note|info|tip|warning|anchor)(?::[^}\n]*)?\}"), WIKI, ""),
     (re.compile(r"(?<![\w\]])!\[([^\]\n]*)\]\([^)\s]+(?:\s+\"[^\"]*\")?\)"), MARKDOWN, r"\1"),
-    (re.compile(r"\[\[(?:Image|File|Datei|Fichier|Archivo)[:(]([^\]\n]{1,200}?)\)?\]\]", re.I), WIKI, r"\1"),
-    (re.compile(r"(?<![\w\])])\[\[(?!\s*\d)(?:[^\]|\n]*\|)?([^\]|\n]{1,200})\]\]"), WIKI, r"\1"),
-    (re.compile(r"(?<![\w\])])\[(?:https?|ftp|mailto|wiki|ticket|source):\S+\s+([^\]\n]{1,200})\]"), WIKI, r"\1"),
-    (re.compile(r"(?<![\w\])])\[([^\]|\n]{1,200})\|(?:https?://|[#^~]|mailto:)[^\]\n]{1,200}\]"), WIKI, r"\1"),
-    (re.compile(r"(?<![\w\])])\[([^\]\n]{1,200})\]\((?!\s)[^)\n]*[^)\s]\)"), MARKDOWN, r"\1"),
-    (re.compile(r"(?<![\w\])])\[([^\]\n]{1,200})\]\[[^\]\n]*\]"), MARKDOWN, r"\1"),
-    (re.compile(r"(?<![\w{$#])\{\{(?!\{)([^{}|\n]{1,200})\}\}(?!\})"), WIKI, r"\1"),
-    (re.compile(r"(?<![\w{$#])\{\{(?!\{)([^{}|\n]{1,200})\|([^{}\n]*)\}\}(?!\})"), WIKI, r"\2"),
-    (re.compile(r"(?<![\w'=(\[])'''(?![\s'])([^'\n]{1,200}?)(?<!\s)'''(?![\w'])"), WIKI, r"\1"),
-    (re.compile(r"(?<![\w'=(\[])''(?![\s'])([^'\n]{1,200}?)(?<!\s)''(?![\w'])"), WIKI, r"\1"),
-    (re.compile(r"(?<![\w*/\\])(\*{1,3})(?![\s*])([^*\n]{1,200}?)(?<![\s*])\1(?![\w*])"), MARKDOWN, r"\2"),
-    (re.compile(r"(?<![\w~])~~(?![\s~])([^~\n]{1,200}?)(?<![\s~])~~(?![\w~])"), MARKDOWN, r"\1"),
+    (_Link(r"(?i:\[\[(?:Image|File|Datei|Fichier|Archivo)[:(])", r"[\]\n]", r"\]\]", label=lambda x: x[:-1] if x.endswith(")") and x != ")" else x), WIKI, r"\1"),
+    (_Link(_BRACKET + r"\[(?!\s*\d)", r"[\]\n]", r"\]\]", pipe=True), WIKI, r"\1"),
+    (_Link(_BRACKET + r"(?:https?|ftp|mailto|wiki|ticket|source):\S+\s", r"[\]\n]", r"\]", label=lambda x: x.lstrip() or x[-1:]), WIKI, r"\1"),
+    (_Link(_BRACKET, r"[\]|\n]", r"\|(?:https?://|[#^~]|mailto:)", "]"), WIKI, r"\1"),
+    (_Link(_BRACKET, r"[\]\n]", r"\]\((?!\s)", ")"), MARKDOWN, r"\1"),
+    (_Link(_BRACKET, r"[\]\n]", r"\]\[", "]", 0), MARKDOWN, r"\1"),
+    (re.compile(r"(?<![\w{$#])\{\{(?!\{)([^{}|\n]+)\}\}(?!\})"), WIKI, r"\1"),
+    (re.compile(r"(?<![\w{$#])\{\{(?!\{)([^{}|\n]+)\|([^{}\n]*)\}\}(?!\})"), WIKI, r"\2"),
+    (re.compile(r"(?<![\w'=(\[])'''(?![\s'])([^'\n]+?)(?<!\s)'''(?![\w'])"), WIKI, r"\1"),
+    (re.compile(r"(?<![\w'=(\[])''(?![\s'])([^'\n]+?)(?<!\s)''(?![\w'])"), WIKI, r"\1"),
+    (re.compile(r"(?<![\w*/\\])(\*{1,3})(?![\s*])([^*\n]+?)(?<![\s*])\1(?![\w*])"), MARKDOWN, r"\2"),
+    (re.compile(r"(?<![\w~])~~(?![\s~])([^~\n]+?)(?<![\s~])~~(?![\w~])"), MARKDOWN, r"\1"),
     (re.compile(r"(?<!\w)!(\S+\.(?:png|jpe?g|gif|svg))(?:\|[^!\n]*)?!(?!\w)"), WIKI, r"\1"),
     (re.compile(r"\\href\{[^{}]*\}\{([^{}]*)\}"), LATEX, r"\1"),
     (re.compile(r"\\(?:section|subsection|subsubsection|chapter|paragraph)\*?\{([^{}\n]*)\}"), LATEX, r"\1"),

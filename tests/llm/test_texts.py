@@ -67,6 +67,43 @@ def test_links_in_text_stay():
     assert got.count("See the manual for details of it.") == 2 and got.count("A sentence") == 70
 
 
+LONG = "many words stand here and " * 1200
+
+
+@pytest.mark.parametrize(
+    ("before", "after", "language"),
+    [
+        ("**", "**", "markdown"), ("~~", "~~", "markdown"), ("[", "](http://x.y)", "markdown"), ("[", "][1]", "markdown"), ("'''", "'''", "wiki"), ("''", "''", "wiki"), ("[[", "]]", "wiki"), ("[[Page|", "]]", "wiki"),
+        ("[[Image:", "]]", "wiki"), ("[http://x.y ", "]", "wiki"), ("[", "|http://x.y]", "wiki"), ("[label|http://", "]", "wiki"), ("{{", "}}", "wiki"), ("{{x|", "}}", "wiki"), ("<code>", "</code>", "html"), ("<tt>", "</tt>", "html"),
+        ("\\\\[", "\\\\]", "latex"), ("\\\\(", "\\\\)", "latex"), ("\\\\begin{align}", "\\\\end{align}", "latex"), ("$\\\\alpha ", "$", "latex"),
+    ],
+)
+def test_marks_enclose_any_length(before, after, language):
+    inner = LONG.strip()
+    got = M.clean(f"See {before}{inner}{after} now.")
+    assert got.languages == [language]
+    assert before + inner not in got.text or language == "latex"
+    assert M.clean(f"See {before}short text{after} now.").languages == [language]
+    if language in ("html", "latex"):  # nothing inside is read as a mark
+        assert M.clean(f"See {before}{inner} == a **b** '''c'''{after} now.").languages == [language]
+
+
+def test_long_sentence_is_no_program_text():
+    text = f"limit = all that is left, {LONG}and no more."
+    assert M.clean(text).code_blocks == 0 and M.clean(text).text == text
+    assert M.clean("limit = all that is left.").code_blocks == 0
+    assert M.clean(f"limit = [{'1, ' * 3000}2]").code_blocks == 1
+
+
+def test_open_marks_take_linear_time():
+    import time
+
+    for hard in ("[", "[[", "[[Image:", "[a|", "[a|http://b ", "[a](", "[a][", "''", "*a ", "~~a ", "$a ", "\\\\(", "\\\\[", "<code>", "<code ", "\\\\begin{math}", "x = aaa bbb ccc ", "[[a|b|c "):
+        began = time.process_time()
+        assert M.clean(hard * (40_000 // len(hard))).text is not None
+        assert time.process_time() - began < 10, hard
+
+
 def test_odd_texts():
     assert M.clean(None) is None
     assert M.clean("").text == ""
