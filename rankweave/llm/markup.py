@@ -168,17 +168,18 @@ def _block_code(text: str, shelf: _Shelf) -> str:
             i = j + 1
         elif m := _WIKI_CODE.match(line):
             end = "{" + m[1] + "}"
-            rest, j = [m[3]] if m[3] else [], i
+            rest, j, after = [m[3]] if m[3] else [], i, ""
             if rest and end in rest[0]:
-                rest[0] = rest[0].split(end)[0]
+                rest[0], after = rest[0].split(end, 1)
             else:
                 j += 1
                 while j < len(lines) and end not in lines[j]:
                     rest.append(lines[j])
                     j += 1
-                if j < len(lines) and lines[j].split(end)[0].strip():
-                    rest.append(lines[j].split(end)[0])
-            out.append(shelf.put("code", WIKI, "\n".join(rest), (m[2] or "").lstrip(":")))
+                if j < len(lines):
+                    last, after = lines[j].split(end, 1)
+                    rest += [last] if last.strip() else []
+            out.append(shelf.put("code", WIKI, "\n".join(rest), (m[2] or "").lstrip(":")) + after.rstrip())
             i = j + 1
         elif m := re.match(rf"^\s*\\begin\{{({_CODE_ENV})\*?\}}", line):
             j = i + 1

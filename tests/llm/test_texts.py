@@ -104,6 +104,13 @@ def test_open_marks_take_linear_time():
         assert time.process_time() - began < 10, hard
 
 
+@pytest.mark.parametrize("code", ["{code}x{code}", "{noformat}\nx\n{noformat}", "{code:java}\nx{code}"])
+def test_text_after_wiki_code_stays(code):
+    got = M.clean(f"{code} fails as soon as **it** runs.\n\nMore.")
+    assert "fails as soon as it runs." in got.text and "```" in got.text and "More." in got.text
+    assert got.languages == ["markdown", "wiki"] and got.code_blocks == 1
+
+
 def test_odd_texts():
     assert M.clean(None) is None
     assert M.clean("").text == ""
