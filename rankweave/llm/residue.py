@@ -1,184 +1,195 @@
 """Template residue, filler and notices in place of content (problem 9).
 
-A document is cut into segments. Numbers, addresses and dates of a segment are masked and the
-result is hashed; the hashes are counted over all documents and sources. Rules on phrases and
-placeholders give each segment a class. Where a rule alone is too weak, the segment only counts
-as a notice if the same message recurs widely and across sources.
+Numbers, addresses and dates of a text are masked, the text is cut into messages (lines, their
+parts and sentences), and each message is hashed in a normal form. The hashes are counted over all
+documents and sources. All of it runs in the JVM; nothing is parsed row by row.
+
+What a message is follows from two things. *Placeholders*, and a few wordings that mean one thing
+only (an HTTP status line, a demand for JavaScript, lorem ipsum), decide by themselves. Everything
+else that phrase rules find, such as hints of a form, dummy copy or notices of a site, may as well
+be somebody's own sentence, so it counts only if the same masked message recurs in at least
+``MIN_DOCS`` documents and ``MIN_SOURCES`` sources. The rules are applied once per such message.
+
+The rules look for a subject, a state and a demand anywhere in a message of at most ``LONGEST``
+words, in English, German, French and Spanish with some Italian and Portuguese, rather than for
+whole known sentences. Messages with signs of a report (quotation marks, identifiers, paths, words
+such as *because*) are content. So is what no rule finds, however often it recurs: people repeat
+sentences too.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from functools import reduce
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from rankweave.session import Workspace
+from rankweave.session import Workspace, spread
 
-# Classes of a segment.
-CONTENT, SLOT, HINT, FILLER, NOTICE, NEUTRAL, WEAK = range(7)
-CLASS_NAMES = ("content", "slot", "hint", "filler", "notice", "neutral", "weak")
+# Classes of a message.
+CONTENT, SLOT, HINT, FILLER, NOTICE, NEUTRAL = range(6)
+CLASS_NAMES = ("content", "slot", "hint", "filler", "notice", "neutral")
 
-#: A message recurs widely if it stands in at least this share of the documents, in MIN_DOCS
-#: documents and in MIN_SOURCES sources. Segments of a document add up, so there are at most
-#: (segments of a document on average) / WIDE such messages; that bounds what is broadcast.
-WIDE = 1e-4
+#: A message recurs widely if it stands in so many documents and sources; neither grows with the table.
 MIN_DOCS = 3
 MIN_SOURCES = 2
+#: Words of the longest message that a phrase rule is for, and of a title (a line without end mark).
+LONGEST = 30
+TITLE = 5
+#: Least share of function words in running text, of the language that fits best.
+RUNNING = 0.15
 
-_F = re.IGNORECASE
-
-# ---- placeholders
+# ---- placeholders (Java patterns)
 
 _NAME = r"[A-Za-z_][\w .|-]{0,60}"
-SLOTS = re.compile(
-    "|".join(
-        (
-            r"\{%.{0,80}?%\}",  # {% block x %}
-            r"<%=?.{0,80}?%>",  # <%= x %>
-            r"\{\{\s*" + _NAME + r"\s*\}\}",  # {{ x }}
-            r"[$#]\{\s*" + _NAME + r"\}",  # ${x} #{x}
-            r"%\(\w+\)[sdr]",  # %(x)s
-            r"(?<![\w%])%[A-Za-z_]+%(?![\w%])",  # %X%
-            r"@@\w+@@",  # @@x@@
-            r"\[\[\s*" + _NAME + r"\s*\]\]",  # [[x]]
-            r"<<\s*" + _NAME + r"\s*>>",  # <<x>>
-            r"\[insert [\w ]+\]",  # [insert x]
-            r"\[(?:your|enter|add) [\w ]+\]",
-            r"\[[A-Z][A-Z_ ]{2,}\]",  # [FIRST NAME]
-            r"<(?:insert |your )?[a-z_ ]+ here>",  # <x here>
-            r"<insert [a-z_ ]+>",
-            r"(?<!\w)__[A-Z][A-Z_]*__(?!\w)",  # __X__
-            r"(?<!\w)_{4,}(?!\w)",  # _____
-            r"(?<!\w)X{4,}(?!\w)",  # XXXX
-            r"(?<![\w$])\$[a-z][a-z_]*\b",  # $x
-            r"(?<![\w$#%{'\"])\{[A-Za-z][A-Za-z_]*\}(?!\})",  # {x}
-        )
-    ).replace(r"\[insert", r"\[(?i:insert)")
+_FIELD = "name|number|date|address|title|company|e-?mail|phone|role|id|version|amount|city|url|link|reason|product|department"
+SLOTS = "|".join(
+    (
+        r"\{%[^%\r\n]{0,80}%\}",  # {% block x %}
+        r"<%=?[^%\r\n]{0,80}%>",  # <%= x %>
+        r"\{\{\s*" + _NAME + r"\s*\}\}",  # {{ x }}
+        r"(?<![\w/\\])[$#]\{\s*" + _NAME + r"\}(?![\w/\\])",  # ${x} #{x}
+        r"%\(\w{1,60}\)[sdr]",  # %(x)s
+        r"(?<![\w%])%[A-Za-z_]{1,60}%(?![\w%])",  # %X%
+        r"@@\w{1,60}@@",  # @@x@@
+        r"\[\[\s*" + _NAME + r"\s*\]\]",  # [[x]]
+        r"<<\s*" + _NAME + r"\s*>>",  # <<x>>
+        r"\[(?i:insert|your|enter|add) [\w ]{1,60}\]",  # [insert x]
+        r"(?<![\w\])])\[[A-Z][A-Z_ ]{2,60}\](?![(\[])",  # [FIRST NAME]
+        r"(?<![\w\])])\[(?:[A-Za-z]{2,20} ){0,2}(?i:" + _FIELD + r")\](?![(\[])",  # [Customer Name]
+        r"<(?:insert |your )?[a-z_ ]{1,60} here>",  # <x here>
+        r"<insert [a-z_ ]{1,60}>",
+        r"(?<!\w)__[A-Z][A-Z_]{0,60}__(?!\w)",  # __X__
+        r"(?<!\w)_{4,80}(?!\w)",  # _____
+        r"(?<!\w)X{4,80}(?!\w)",  # XXXX
+        # $x, but no currency and no shell variable in a path
+        r"(?<![\w$/\\])\$(?!(?:usd|eur|gbp|chf|jpy|cad|aud)\b)[a-z][a-z_]{0,60}\b(?![/\\(])",
+        r"(?<![\w$#%{'\"^/\\])\{[A-Za-z][A-Za-z_]{0,60}\}(?![}/\\])",  # {x}
+    )
 )
-
 # What makes a placeholder the subject of a report: a word about templates, or a verb of showing
 # or keeping right before it, or quotation marks around it.
-_ABOUT = re.compile(
-    r"\b(placeholders?|templates?|literal(ly)?|verbatim|escap(e|es|ed|ing)|interpolat\w+|render(s|ed|ing)?|substitut\w+"
-    r"|Vorlagen?|Platzhalter\w*|Schablonen?|gabarits?|mod[eè]le|substitu\w+|plantillas?|marcador(es)?|sustitu\w+)\b",
-    _F,
-)
-_SHOWN = re.compile(
-    r"(\b(leaves?|left|shows?|shown|prints?|printed|keep|kept|expands?|replaces?|uses?|use|reads?|sends?|emits?|outputs?|literal"
-    r"|string|empty|text|zeigt|ersetzt|behält|affiche|remplace|laisse|muestra|sustituye|reemplaza|deja)\s+(an?\s+|the\s+)?)$",
-    _F,
+_ABOUT = (
+    r"(?iU)\b(?:placeholders?|templates?|literal(?:ly)?|verbatim|escap(?:e|es|ed|ing)|interpolat\w+|render(?:s|ed|ing)?|substitut\w+"
+    r"|Vorlagen?|Platzhalter\w*|Schablonen?|gabarits?|mod[eè]le|substitu\w+|plantillas?|marcador(?:es)?|sustitu\w+)\b"
 )
 _QUOTES = "\"'`“”„«»‘’"
+_MENTIONED = (
+    r"(?U)\b(?i:leaves?|left|shows?|shown|prints?|printed|keep|kept|expands?|replaces?|uses?|use|reads?|sends?|emits?|outputs?|literal"
+    r"|string|empty|text|zeigt|ersetzt|behält|affiche|remplace|laisse|muestra|sustituye|reemplaza|deja)\s{1,9}(?:an?\s|the\s)?(?:"
+    + SLOTS + ")|[" + _QUOTES + "](?:" + SLOTS + ")[" + _QUOTES + "]"
+)
+
+# ---- words of the rules, all lower case
+
+
+def _any(*lists: str) -> str:
+    """A pattern for any of the words or phrases; a blank stands for itself, ``*`` for more letters."""
+    words = [w.strip() for part in lists for w in part.split("|")]
+    return r"(?U)(?<!\w)(?:" + "|".join(w.replace("*", r"\w*").replace(" ", r"\s") for w in words if w) + r")(?!\w)"
+
 
-# ---- phrases
-
-_HINT = re.compile(
-    r"""^(
-      (please\s+)?(tell\s+us|describe|paste|fill\s+in|insert|enter|attach|provide|explain)\b.*
-    | add\s+(a|an|your|the|any)\b.*(hint|here|below|if\s+applicable).*
-    | (type|write|put)\s+(your|it|the|them)\b.*
-    | delete\s+(the|this|these|all)\s+(sections?|lines?|hints?|text|paragraphs?|comments?)\b.*
-    | leave\s+(this\s+)?(empty|blank)\b.*
-    | replace\s+(this|with|the)\b.*
-    | (your\s+)?(text|answer|description|name|title)\s+(goes\s+)?here
-    | (what|where|when|how|which)\s+(did|do|are|have)\s+you\b.*\?
-    | (bitte\s+)?(beschreib\w*|erklär\w*|trag\w*|füg\w*|ersetz\w*|lösch\w*)\b.*\b(hier|ein|aus|abschnitt\w*|text|hinweis)\b.*
-    | (veuillez\s+)?(décri\w+|indique[rz]|coll(er|ez)|rempli\w+|supprim\w+|remplac\w+)\b.*\b(ici|section\w*|texte|champ\w*)\b.*
-    | (por\s+favor,?\s+)?(describ\w+|indique|pegue|rellene|complete|borre|sustituya|escriba)\b.*\b(aquí|secci\w+|texto|campo\w*)\b.*
-    )[.!:)\s]*$""",
-    _F | re.X,
+_SITE = (
+    "page|pages|site|website|resource|requested|web page|webpage|link|url|address|access|session|account|ip|browser|login|captcha|gateway|hostname|host"
+    "|connection|cookies|seite|webseite|sitzung|zugriff|verbindung|adresse|konto|accès|lien|connexion|navigateur|compte|página"
+    "|pagina|sesión|acceso|enlace|sitio|dirección|conexión|navegador|cuenta|accesso|sessione|sito|acesso|sessão"
 )
-_FILLER = re.compile(
-    r"""^(
-      (lorem|ipsum)\b.*
-    | (more\s+)?(this\s+is\s+)?(a\s+)?(dummy|sample|placeholder|filler|example|test)\s+(text|copy|content|data|paragraph)\b.*
-    | this\s+is\s+(just\s+)?(a\s+)?(dummy|sample|placeholder|filler|test)\b.*
-    | content\s+(is\s+)?coming\s+soon | coming\s+soon | to\s+be\s+(written|done|added|announced|determined|filled\s+in)
-    | (replace\s+with\s+)?real\s+(description|text|content)\s+(goes\s+here|later)? | replace\s+with\b.*
-    | here\s+be\s+(a\s+)?\w+ | some\s+text(,\s+(some\s+)?more\s+text)?.*
-    | (\w{2,5}\s+)*(asdf|qwer|qwerty|jkl)(\s+\w{2,5})*
-    | (abc|def|ghi|foo|bar|baz|xyz|blah?|bla|tbd|todo|tba|n/a|test|text|xxx|123)([\s,]+(abc|def|ghi|foo|bar|baz|xyz|blah?|bla|tbd|todo|tba|n/a|test|text|xxx|\d+))*
-    )[.!…\s]*$""",
-    _F | re.X,
+_PROJECT = (
+    "repository|branch|thread|file|document|content|discussion|issue|diff|view|server|service|system|request|forum|wiki"
+    "|tracker|archive|comments?|upstream|proxy|app|application|datei|thema|dienst|anfrage|projekt|fichier|serveur|dépôt|archivo"
+    "|servicio|servidor|repositorio|sistema"
 )
-_FILLER_RUN = re.compile(r"^(?:(?:test|tbd|todo|tba|abc|def|ghi|jkl|asdf|qwer|foo|bar|baz|xyz|blah?|bla|xxx|\d+)\b[\s,]*){3,}", _F)
-_SCRIPT = r"(java\s*script|js|scripts?|scripting|cookies?)"
-_NOTICE = re.compile(
-    rf"""^(
-    # unreachable or missing
-      (error\s+)?[45]\d\d\b[\s:.-]*(not\s+found|bad\s+gateway|forbidden|unauthorized|internal\s+server\s+error|service\s+unavailable|gateway\s+time-?out|bad\s+request|gone|error)?
-    | (http\s+)?(error\s+)?(page|file|resource|thread|issue|repository|branch|document)?\s*not\s+found
-    | ((whoops|oops|sorry)[,!.]?\s*)?(that|this|the)\s+(requested\s+)?(link|page|url|address|repository|branch|thread|file|site|service|content|document|issue|project)
-      \s+(you\s+(requested|are\s+looking\s+for|were\s+looking\s+for)\s+)?
-      (is|was|has|does|could|can(not)?|may)\s*(not|n't|no\s+longer|down|broken|been|temporarily|currently|unavailable|moved)\b.*
-    | (whoops|oops)
-    | internal\s+server\s+error | bad\s+gateway | service\s+(temporarily\s+)?unavailable | gateway\s+time-?out
-    | (the\s+)?(upstream|server|request|connection|gateway)\s+(has\s+)?timed\s+out\b.* | too\s+many\s+requests
-    | something\s+went\s+wrong\b.* | an?\s+(unexpected\s+|internal\s+)?error\s+(has\s+)?occurred\b.*
-    # login and access
-    | access\s+(is\s+)?(denied|forbidden)\b.* | forbidden | unauthorized
-    | you\s+(do\s+not|don't|must|need\s+to)\s+(have\s+(the\s+)?(permission|access)|be\s+(logged|signed)\s+in|(log|sign)\s+in)\b.*
-    | (please\s+)?(log|sign)\s+in\s+(to|again|first)\b.*
-    | (your|the)\s+session\s+(has\s+)?(expired|timed\s+out)\b.*
-    | your\s+(ip(\s+address)?|account|request)\s+(has\s+been|was|is)\s+(blocked|banned|suspended|denied|rate)\b.*
-    | (checking|verifying)\s+(your\s+browser|that\s+you\s+are|you\s+are)\b.* | we\s+(could|can|were)\s*(not|n't|unable)\s+(to\s+)?(verify|confirm|check)\b.* | (please\s+)?(verify|confirm|prove)\s+(that\s+)?you\s+are\s+(not\s+a\s+robot|human)\b.*
-    # maintenance
-    | (the\s+|this\s+|our\s+)?(site|service|server|system|page|forum|tracker|wiki|repository)\s+is\s+(currently\s+|temporarily\s+)?(down|offline|under|in|undergoing|closed|unavailable)\b.*
-    | (down\s+for|scheduled|under)\s+maintenance\b.* | we('ll|\s+will)\s+be\s+back\b.*
-    # demands for scripts
-    | (please\s+)?(you\s+(need|have)\s+to\s+)?(enable|activate|allow|turn\s+on)\s+{_SCRIPT}\b.*
-    | {_SCRIPT}(\s+and\s+\w+)?\s+(is|are|must|has|have|needs?)\b.*\b(required|disabled|off|enabled|allowed|needed|on|activated|blocked)\b.*
-    | (this|the|our)\s+(site|page|app|application|viewer|view|form|forum)\s+(needs?|requires?|works?|relies|uses?|can|cannot)\b.*\b{_SCRIPT}\b.*
-    | (your|the)\s+browser\s+(does\s+not|doesn't|blocks?|has)\b.*
-    | for\s+(the\s+full|full|a\s+better)\b.*\b{_SCRIPT}\b.* | noscript\b.*
-    | (this\s+|the\s+)?(discussion|content|diff|page|comments?|view)\s+(can\s*not|can't|could\s+not)\s+be\s+(shown|displayed|loaded)\b.*
-    # German
-    | (seite|datei|thema|projekt|repository)\s+(wurde\s+)?nicht\s+(gefunden|verfügbar)\b.* | zugriff\s+(verweigert|gesperrt)\b.*
-    | (ihre|die|deine)\s+sitzung\s+(ist|wurde)\s+(abgelaufen|beendet)\b.* | interner\s+serverfehler\b.*
-    | (die\s+seite|der\s+dienst|der\s+server|das\s+system|dieser\s+dienst|diese\s+seite|dienst|server)\s+(ist|wird|wegen|nicht|in)\b.*\b(wart\w+|erreichbar|verfügbar|offline)\b.*
-    | wartungsarbeiten\b.* | wegen\s+wartung\b.* | (bitte\s+)?(aktivieren|erlauben|schalten)\s+sie\s+(java\s*script|skripte)\b.*
-    | ohne\s+(java\s*script|skripte)\b.* | (bitte\s+)?(melden\s+sie\s+sich|loggen\s+sie\s+sich)\b.* | zu\s+viele\s+anfragen\b.*
-    | (diese|die)\s+(ansicht|seite|anwendung)\s+(benötigt|braucht|erfordert)\b.*\b(skripte|java\s*script)\b.* | etwas\s+ist\s+schiefgelaufen\b.*
-    # French
-    | page\s+(introuvable|non\s+trouvée)\b.* | accès\s+(refusé|interdit)\b.* | (votre|la)\s+session\s+(a|est)\s+expirée?\b.*
-    | erreur\s+(interne|serveur)\b.* | (le\s+)?(service|site|serveur)\s+(est\s+)?(en|indisponible|temporairement|fermé)\b.*
-    | (veuillez\s+)?activer?z?\s+java\s*script\b.* | (cette|la)\s+(vue|page)\s+(nécessite|requiert|demande)\b.*\b(scripts?|java\s*script)\b.*
-    | sans\s+(java\s*script|scripts?)\b.* | trop\s+de\s+requêtes\b.* | (veuillez\s+vous\s+)?(re)?connecte[rz]\b.* | une\s+erreur\s+est\s+survenue\b.*
-    # Spanish
-    | página\s+no\s+(encontrada|disponible)\b.* | acceso\s+(denegado|prohibido)\b.* | (su|la|tu)\s+sesión\s+(ha|está)\b.*
-    | error\s+interno\b.* | (el\s+)?(servicio|sitio|servidor)\s+(está\s+)?(en|no|fuera|cerrado)\b.*
-    | (por\s+favor,?\s+)?(active|habilite|permita)\s+(java\s*script|los\s+scripts)\b.* | (esta|la)\s+(vista|página)\s+(necesita|requiere)\b.*\b(scripts?|java\s*script)\b.*
-    | sin\s+(java\s*script|scripts?)\b.* | demasiadas\s+(solicitudes|peticiones)\b.* | (inicie|vuelva\s+a\s+iniciar)\s+sesión\b.* | se\s+ha\s+producido\s+un\s+error\b.*
-    )[.!?\s]*$""",
-    _F | re.X,
+_GONE = (
+    "not found|n.t found|could not be found|cannot be found|can.t be found|couldn.t be found|no longer available|no longer exists?"
+    "|does not exist|doesn.t exist|not available|unavailable|denied|forbidden|expired|suspended|banned|not private|invalid|bad request"
+    "|having trouble finding|trouble connecting|under maintenance|for maintenance|nicht gefunden|existiert nicht|nicht mehr verfügbar"
+    "|nicht verfügbar|nicht erreichbar|verweigert|gesperrt|abgelaufen|introuvable|n.existe plus|n.existe pas|non trouvée?|refusé"
+    "|interdite?|expirée?|indisponible|no existe|no encontrad[ao]|no disponible|no se encontró|denegad[ao]|prohibid[ao]|expirad[ao]"
+    "|caducad[ao]|non trovata|non esiste|não encontrada|não existe|negato|scaduta"
+)
+_TROUBLE = (
+    "broken|blocked|timed out|time-?out|maintenance|offline|down|unreachable|went wrong|cannot be shown|can.t be shown"
+    "|cannot be displayed|can.t be displayed|cannot be loaded|could not be loaded|could not load|moved|errors?|closed|unexpected"
+    "|temporarily|too many|wartung*|beendet|geschlossen|fehler|maintenance|fermée?|erreur|mantenimiento|cerrad[ao]|error|fuera de servicio"
+    "|manutenzione|manutenção"
+)
+_SCRIPT_SURE = "javascript|java script|noscript"
+_SCRIPT = "javascript|java script|noscript|js|scripts?|scripting|cookies|skripte"
+_DEMAND = (
+    "enabled?|enabling|activated?|allow|allowed|turn on|turned on|switch on|switched on|switched off|turned off|needs?|requires?|required|must"
+    "|have to|works? only|only works?|not work|n.t work|work properly|blocks?|blocked|disabled|without|off|aktivieren|aktiviert|erlauben|einschalten"
+    "|benötigt|erfordert|braucht|ohne|activer|activez|autorise[rz]|nécessite|requiert|désactivé|sans|active|activar|habilite|permita"
+    "|necesita|requiere|desactivado|sin|abilita|ative"
+)
+_HUMAN = "human|robot|captcha|security check|your browser|sicherheitsprüfung|mensch|humain|humano"
+_VERIFY = "verify|verifying|confirm|prove|check|checking|complete|bestätigen|vérifi*|confirme[rz]?|verifi*"
+_LOGIN = (
+    "logged in|signed in|sign in to|sign in again|sign in first|log in to|log in again|log in first|please log in|please sign in|permission to"
+    "|melden sie sich|loggen sie sich|connecte[rz]|reconnecte[rz]|inicie sesión|iniciar sesión"
+)
+#: Notices that consist of little else.
+_ALONE = (
+    r"(?U)^(?:forbidden|unauthorized|bad gateway|bad request|internal server error|too many requests|not found"
+    r"|service (?:temporarily )?unavailable|gateway time-?out|something went wrong\b.*|an? (?:unexpected |internal )?error (?:has )?occurred\b.*"
+    r"|we(?:'ll| will) be back\b.*|interner serverfehler\b.*|etwas ist schiefgelaufen\b.*|zu viele anfragen\b.*|wartungsarbeiten\b.*"
+    r"|une erreur est survenue\b.*|erreur (?:interne|serveur)\b.*|trop de requêtes\b.*|se ha producido un error\b.*|error interno\b.*"
+    r"|demasiadas (?:solicitudes|peticiones)\b.*)$"
+)
+_SORRY = r"^(?:whoops|oops|sorry|uh-? ?oh)$"
+_STATUS = (
+    r"(?U)^(?:https? )?(?:status |error |fehler |erreur )?(?:code )?[45]\d\d(?: -)?(?:[.:,]? (?:error|not found|bad gateway|bad request|forbidden"
+    r"|unauthorized|internal server error|service (?:temporarily )?unavailable|gateway time-?out|gone|page not found|too many requests"
+    r"|method not allowed|request timeout|the \w+ .*|access denied|nicht gefunden|introuvable|no encontrad[ao]))?$"
+)
+
+_ASK = (
+    r"(?U)^(?:please |bitte |veuillez |por favor,? )?(?:tell us|describe|paste|fill|insert|enter|attach|provide|explain|add|type|write|put|delete"
+    r"|remove|leave|replace|list|include|beschreib\w*|erklär\w*|trag\w*|füg\w*|ersetz\w*|lösch\w*|nenn\w*|décri\w+|indique[rz]?|coll(?:er|ez)"
+    r"|rempli\w+|supprim\w+|remplac\w+|ajoute[rz]|describ\w+|pegue|rellene|complete|borre|sustituya|escriba|añada)(?!\w)"
+)
+_HERE = _any(
+    "here|below|this (line|hint|template|paragraph|section|field|text)|this hint|these hints|if applicable|hier|diesen abschnitt|diesen hinweis"
+    "|ici|cette section|ce texte|aquí|esta sección|este texto"
+)
+_FIELDS = _any(
+    "it|colon|sections?|applicable|fields?|template|steps?|logs?|release|version|module|problem|answer|instead|sentences?|empty|blank"
+    "|screenshots?|name|example|environment|ausgabe|abschnitt*|text|texte|champs?|campos?|secci*|texto"
+)
+_HINT_SURE = (
+    r"(?U)^(?:a clear and concise description\b.*|(?:your )?(?:text|answer|description|name|title) (?:goes )?here|if applicable, add\b.*"
+    r"|steps to reproduce the behaviou?r)$"
+)
+_HINT = r"(?U)^(?:what|where|when|how|which) (?:did|do|are|have|were) you\b.{0,60}|.{0,40} goes here|go to '.{0,40}"
+
+# Words that stand for nothing.
+DUMMIES = tuple(
+    """abc def ghi jkl asdf qwer qwerty foo bar baz xyz bla blah tbd todo tba test text xxx lorem ipsum dolor sit amet n/a 0""".split()
+)
+_DUMMY = _any(
+    "dummy|filler text|filler copy|placeholder text|sample text|sample content|example text|sample paragraph|layout purposes|coming soon"
+    "|real (description|text|content)|some more text|here be|to be (written|done|added|announced|determined|filled in)|lorem ipsum"
+    "|blindtext|platzhaltertext|faux texte|texte factice|texto de relleno|texto de ejemplo"
 )
 #: Parts of a page around a notice: they are neither content nor a case by themselves.
-_NEUTRAL = re.compile(
-    r"""^(
-      skip\s+to\s+(the\s+)?(main\s+)?content | (sign|log)\s+(in|up|out)(\s*\|\s*[\w\ ]+)* | register | help
-    | (request|error|ray|incident|reference|trace|correlation)\s*(id|code|number|no\.?)?\s*:?\s*[\w-]+
-    | (issues|pull\s+requests|code\s+view|mailing\s+list\s+archive|discussions?|wiki|home|menu|search|archive|forum)
-    | return\s+to\s+(the\s+)?(start|home|main|previous)\s*\w* | (back|go)\s+(to\s+)?(the\s+)?(start|home)\s*\w*
-    | (please\s+)?(slow\s+down|wait)\b.*\b(try|later|again|retry)\b.* | (please\s+)?try\s+(again|reloading|later)\b.* | the\s+address\s+may\s+be\b.* | if\s+(this|the)\s+(keeps?|problem|error)\b.*
-    | (please\s+)?contact\s+(the|your)\s+(administrator|support|webmaster)\b.*
-    | (bitte\s+)?versuchen\s+sie\s+es\b.* | zur\s+startseite | vorgang\s*:?\s*[\w-]* | fehlercode\s*:?\s*\w* | anmelden | hilfe
-    | (veuillez\s+)?réessaye[rz]\b.* | retour\s+à\s+l['’]accueil | référence\s*:?\s*[\w-]* | code\s*:?\s*\w*
-    | inténtelo\s+de\s+nuevo\b.* | volver\s+al?\s+(inicio|página\s+principal) | referencia\s*:?\s*[\w-]* | código\s*:?\s*\w*
-    | [0-9a-f]{6,} | \W*
-    )[.!\s]*$""",
-    _F | re.X,
+_AROUND = (
+    r"(?U)^(?:skip to (?:the )?(?:main )?content|(?:sign|log) (?:in|up|out)|register|help|(?:return|go|back) to\b.*|.*\btry (?:again|later|reloading)\b.*"
+    r"|(?:please )?(?:slow down|wait|reload|refresh)\b.*|the address may be\b.*|.*\bmay have (?:been )?(?:moved|removed|deleted)\b.*"
+    r"|if (?:this|the) (?:keeps?|problem|error|issue)\b.*|.*\bcontact (?:the|your|our)\b.*\b(?:administrator|support|webmaster|owner|team)\b.*"
+    r"|(?:the )?redirect\w*\b.*|you (?:are|will) be(?:ing)? redirected\b.*"
+    r"|(?:bitte )?versuchen sie es\b.*|zur startseite|(?:zurück|weiter) zu[rm]?\b.*|(?:veuillez )?réessaye[rz]\b.*|retour à\b.*|inténtelo\b.*|vuelva\b.*"
+    r"|volver a\b.*|(?:request|error|ray|incident|reference|trace|correlation|vorgang|fehlercode|référence|referencia|código|code)"
+    r"(?: id| code| number)?:? ?[\w-]*|[\W\d_]*)$"
 )
-_WEAKWORDS = re.compile(
-    r"\b(not\s+found|denied|expired|maintenance|unavailable|timed\s+out|forbidden|javascript|scripts?|scripting|cookies|browser|reload"
-    r"|permission|log\s*in|sign\s+in|nicht\s+gefunden|verweigert|abgelaufen|wartung|skripte|introuvable|refusé|expirée?|maintenance"
-    r"|no\s+encontrada|denegado|caducado|mantenimiento)\b",
-    _F,
+_SERVER = r"^(?:powered by )?(?:apache )?(?:nginx|apache|openresty|cloudflare|tomcat)(?:/[\d.]+)?(?: server\b.*| \(\w+\))?$"
+#: A message of these holds somebody's own thought or speaks about a message.
+_REPORT_MARKS = r"[\"`“”„«»_/\\{}=\[\]]|\w\(|(?<!\bJava)(?<=\p{Ll})\p{Lu}|(?<!\p{L})'|'(?!\p{L})"
+_REPORT_WORDS = _any(
+    "when|whenever|because|although|should|raises?|returns?|renders?|bug|regression|handler|i|my|fails|since|weil|obwohl|parce|car"
+    "|aunque|porque|cuando|lorsque"
 )
+
 # Frequent function words of four languages.
 FUNCTION_WORDS = tuple(
-    frozenset(w.split())
+    tuple(sorted(set(w.split())))
     for w in (
         """the a an and or of to in on at by for from with without is are was were be been it its this that these those as but not
         no so if when while than then into out up only still same all each every which who what where how there here we i you he
@@ -193,144 +204,147 @@ FUNCTION_WORDS = tuple(
         cuando si este esta estos estas dos hay a mismo alguien veces""",
     )
 )
-_WORD = re.compile(r"[^\W\d_]+")
-_PLAIN = re.compile(r"(?<![\w.])[^\W\d_]{2,}(?![\w(])")
-_SENTENCE = re.compile(r"(?<=[.!?])\s+(?=\S)")
-_TAGS = re.compile(r"</?(html|head|body|title|h[1-6]|p|div|span|center|hr|br|noscript)\b[^>]*>", _F)
-_MASKS = (
-    (re.compile(r"https?://\S+|www\.\S+|(?<![\w.+-])[\w.+-]{1,64}@[\w-]{1,64}\.[\w.-]*\w", _F), "\0a"),
-    (re.compile(r"\d{4}-\d\d-\d\d([Tt ]\d\d:\d\d(:\d\d)?\S*)?|\d\d?[./]\d\d?[./]\d{2,4}|\b\d\d?:\d\d(:\d\d)?\b"), "\0d"),
-    (re.compile(r"\b(?=[0-9a-f]*\d)[0-9a-f]{6,}\b|\d+(\.\d+)*", _F), "\0n"),
+_PLAIN = r"(?<![\p{L}\p{N}_.])\p{L}{2,}(?![\p{L}\p{N}_(])"
+_PROGRAM = r"[_/\\\d]|\w\(|\p{Ll}\p{Lu}"
+
+# ---- normal form
+
+_CLEAN = (
+    (r"(?i)</?(?:html|head|body|title|h[1-6]|p|div|span|center|hr|br|noscript)(?:\s[^<>=]*=[^<>]*)?\s*/?>", "\n"),
+    (r"[ \t\x0B\f\x{A0}]+", " "),
+    (r"(?m)^ ?(?:[-*+>#]+|\d+[.)]|\[\d\d:\d\d\] ?\w+:) ", ""),
+    (r"(?i)https?://\S*[\w/]|\[/[^\]\s]{0,200}\]|(?<![\w.])www\.\S*[\w/]|(?<![\w.+-])[\w.+-]{1,64}@[\w-]{1,64}\.[\w.-]{0,190}\w", "@"),
+    (r"\d{4}-\d\d-\d\d(?:[Tt ]\d\d:\d\d(?::\d\d)?[\w:.+-]*\w)?|\b\d\d?[./]\d\d?[./]\d{2,4}\b|\b\d\d?:\d\d(?::\d\d)?\b", "0"),
+    (r"\b(?=[a-fA-F]*\d)[0-9a-fA-F]{6,}\b", "0"),
+    # numbers, but not a status code that stands alone
+    (r"(?!(?<![\w.])[45]\d\d(?!\w|\.\d))(?<!\d)\d(?:[\d.]*\d)?", "0"),
 )
+_CUT = r"[\r\n\x0B\f\x{85}\x{2028}\x{2029}]+|(?<=\s)[-–—|](?=\s)|(?<=[.!?])\s+"
 
 
-def masked(segment: str) -> str:
-    """A segment in lower case with addresses, dates and numbers masked and white space joined."""
-    s = segment.lower()
-    for pattern, mark in _MASKS:
-        s = pattern.sub(mark, s)
-    return " ".join(s.split()).strip(" .!?:;-")
+def messages(text: Column) -> Column:
+    """The different messages of a text, masked: an array of strings."""
+    text = reduce(lambda t, p: F.regexp_replace(t, F.lit(p[0]), F.lit(p[1])), _CLEAN, text)
+    return F.array_distinct(F.array_remove(F.transform(F.split(text, _CUT), lambda s: F.trim(s)), ""))
 
 
-def segments(text: str) -> list[str]:
-    """Lines, their parts between `` - ``, and the sentences of those."""
-    out = []
-    for line in text.splitlines():
-        line = _TAGS.sub(" ", line).strip()
-        line = re.sub(r"^(?:[-*+>#]+|\d+[.)]|\[\d\d:\d\d\]\s*\w+:)\s+", "", line)
-        for part in re.split(r"\s+[-–—|]\s+(?=\S)", line) if not _is_long(line) else [line]:
-            out.extend(s for s in (x.strip() for x in _SENTENCE.split(part)) if s)
-    return out
+def normal(message: Column) -> Column:
+    """What is hashed: lower case, without marks around."""
+    return F.trim(F.lower(message), F.lit(" .!?:;-…"))
 
 
-def _is_long(line: str) -> bool:
-    return len(line) > 2_000
+def has_open_slot(message: Column) -> Column:
+    """Whether a placeholder stands where a name or value belongs, not as subject of a report."""
+    bare = F.regexp_replace(message, F.lit(_MENTIONED), F.lit(" "))
+    return message.rlike(r"[{}%@\[<$]|XXXX|__") & bare.rlike(SLOTS) & ~F.regexp_replace(message, F.lit(SLOTS), F.lit(" ")).rlike(_ABOUT)
+
+
+def _words(low: Column) -> Column:
+    return F.size(F.split(low, " "))
+
+
+def may_be_message(message: Column) -> Column:
+    """Whether phrase rules are for it: no mark of a report, not too long."""
+    return ~message.rlike(_REPORT_MARKS) & (_words(message) <= LONGEST)
+
+
+def by_itself(message: Column) -> Column:
+    """Class of a message by what needs no recurrence; null where that must decide."""
+    low = normal(message)
+    # a line without end mark, or a single word
+    title = ((~message.rlike(r"[.!?…]$") & (_words(message) <= TITLE)) | (_words(message) == 1)) & ~message.contains("/")
+    tokens = F.filter(F.split(low, r"[ ,.!…:]+"), lambda t: t != "")
+    dummies = F.filter(tokens, lambda t: t.isin(*DUMMIES))
+    first = F.filter(F.slice(tokens, 1, 3), lambda t: t.isin(*DUMMIES))
+    run = (F.size(first) == 3) & ((F.size(dummies) * 2 >= F.size(tokens)) | low.rlike(_DUMMY))
+    doubt = low.rlike(_any(_GONE, _TROUBLE, _SCRIPT, _LOGIN, _VERIFY)) | low.rlike(_SORRY) | low.rlike(_DUMMY)
+    sure = (
+        F.when(low.rlike(_AROUND), NEUTRAL)
+        .when(low.rlike(r"^(?:lorem|ipsum)\b"), FILLER)
+        .when(low.rlike(r"^(?:" + "|".join(DUMMIES) + r")\b") & run, FILLER)
+        .when(low.rlike(_ALONE) | low.rlike(_STATUS), NOTICE)
+        .when(low.rlike(_HINT_SURE), HINT)
+        .when((title & ~doubt) | low.rlike(_SERVER), NEUTRAL)
+        .when(low.rlike(_REPORT_WORDS), F.lit(None))
+        .when(low.rlike(_any(_SCRIPT_SURE)) & low.rlike(_any(_DEMAND)), NOTICE)
+        .when(low.rlike(_any(_SITE)) & low.rlike(_any(_GONE)), NOTICE)
+        .when(low.rlike(_any(_HUMAN)) & low.rlike(_any(_VERIFY)), NOTICE)
+        .when(low.rlike(_ASK) & low.rlike(_HERE), HINT)
+    )
+    return F.when(has_open_slot(message), SLOT).when(may_be_message(message), sure).when((title & ~doubt) | low.rlike(_SERVER), NEUTRAL)
+
+
+def if_recurring(message: Column) -> Column:
+    """Class of a message that ``by_itself`` left open, given that it recurs widely."""
+    low = normal(message)
+    about = low.rlike(_any(_SITE, _PROJECT))
+    kind = (
+        F.when(low.rlike(_REPORT_WORDS), CONTENT)
+        .when(low.rlike(_SORRY) | (about & low.rlike(_any(_GONE, _TROUBLE))), NOTICE)
+        .when((low.rlike(_any(_SCRIPT)) & low.rlike(_any(_DEMAND))) | low.rlike(_any(_LOGIN)), NOTICE)
+        .when(low.rlike(_DUMMY), FILLER)
+        .when((low.rlike(_ASK) & low.rlike(_FIELDS)) | low.rlike(_HINT), HINT)
+        .otherwise(CONTENT)
+    )
+    return F.when(may_be_message(message), kind).otherwise(CONTENT)
 
 
-def _mentions(segment: str, start: int, end: int) -> bool:
-    before, after = segment[:start], segment[end:]
-    if before[-1:] in _QUOTES and before and after[:1] in _QUOTES and after:
-        return True
-    return bool(_SHOWN.search(before))
+def _how_many(words: tuple[str, ...]) -> Column:
+    return F.size(F.filter("_w", lambda w: w.isin(*words)))
 
 
-def has_open_slot(segment: str) -> bool:
-    """Whether a placeholder stands where a name or value belongs, not as subject of a report."""
-    found = [m for m in SLOTS.finditer(segment) if m.group() not in ("$HOME", "$PATH")]
-    if not found:
-        return False
-    if _ABOUT.search(SLOTS.sub(" ", segment)):
-        return False
-    return any(not _mentions(segment, m.start(), m.end()) for m in found)
-
-
-def classify(segment: str) -> int:
-    """Class of one segment by rules alone; WEAK ones are decided by how widely they recur."""
-    if has_open_slot(segment):
-        return SLOT
-    if _NEUTRAL.match(segment):
-        return NEUTRAL
-    if _NOTICE.match(segment):
-        return NOTICE
-    if _FILLER.match(segment):
-        return FILLER
-    if (run := _FILLER_RUN.match(segment)) and classify(segment[run.end() :]) in (FILLER, NEUTRAL):
-        return FILLER
-    if _HINT.match(segment):
-        return HINT
-    if not segment.endswith((".", "!", "?")) and len(segment.split()) <= 5 and "/" not in segment:
-        return WEAK if _WEAKWORDS.search(segment) else NEUTRAL
-    if _WEAKWORDS.search(segment) and len(segment.split()) <= 12 and not re.search(r"[_/\"'`]|[a-z][A-Z]", segment):
-        return WEAK
-    return CONTENT
-
-
-def _gibberish(parts: list[str]) -> bool:
-    """Whether the words lack the function words that running text of any kind has."""
-    words = [w.lower() for p in parts for w in _PLAIN.findall(p)]
-    if len(words) < 4 or any(re.search(r"[_/\\]|\w\(|[a-z][A-Z]|\d", p) for p in parts):
-        return False
-    # of the language that fits best: single words of a made-up text may belong to any
-    return max(sum(w in known for w in words) for known in FUNCTION_WORDS) < 0.15 * len(words)
-
-
-def document_segments(text: str) -> list[tuple[str, int]]:
-    """Masked segment and class of each different segment of a document."""
-    found: dict[str, int] = {}
-    rest = []
-    for s in segments(text):
-        kind = classify(s)
-        key = masked(s)
-        if kind == CONTENT:
-            rest.append((key, s))
-        found[key] = kind if key not in found or kind == SLOT else found[key]
-    sentences = [s for _, s in rest]
-    if rest and _gibberish(sentences):
-        for key, _ in rest:
-            found[key] = FILLER
-    return list(found.items())
-
-
-def classified(docs: DataFrame, doc: str, text: str, source: str) -> DataFrame:
-    """``doc, source, message, hash, class`` of every different segment of every document.
-
-    Null and empty texts have none. Weak classes are settled: a message that recurs widely, in
-    several sources, is a notice, any other is content.
+def classified(docs: DataFrame, doc: str, text: str, source: str, recurrence: bool = True) -> DataFrame:
+    """``doc, source, message, hash, class`` of every different message of every document.
+
+    ``message`` is masked. Null and empty texts and rows without a document id have none; rows with
+    the same id count as one document. A null source is a source of its own. A text in which no
+    function word stands among four words or more and nothing looks like a program is filler. With
+    ``recurrence`` off, messages that need it are content.
     """
-    spark = docs.sparkSession
-    ws = Workspace(spark, "residue")
-    kind = docs.schema[doc].dataType.simpleString()
+    ws = Workspace(docs.sparkSession, "residue")
     slim = docs.select(
         F.col(f"`{doc}`").alias("_d"), F.lower(F.trim(F.col(f"`{source}`").cast("string"))).alias("_s"), F.col(f"`{text}`").alias("_t")
     ).where("_t IS NOT NULL AND _d IS NOT NULL")
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(d, s, m, k) for d, s, t in pdf.itertuples(index=False) for m, k in document_segments(t)]
-            yield pd.DataFrame(rows, columns=["_d", "_s", "_m", "_k"])
-
-    found = slim.mapInPandas(cut, f"_d {kind}, _s string, _m string, _k int").withColumn("_h", F.xxhash64("_m"))
-    # only short messages can recur as notices; the text of the others is not needed again
-    found = ws.keep(found.withColumn("_m", F.when(F.col("_k") != CONTENT, F.col("_m"))), "segments")
-    docs_ = found.agg(F.count_distinct("_d").alias("_n"))
-    counts = found.groupBy("_h").agg(F.count(F.lit(1)).alias("_c"), F.approx_count_distinct("_s").alias("_ss"))
-    wide = counts.crossJoin(F.broadcast(docs_)).where(
-        (F.col("_c") >= F.greatest(F.lit(MIN_DOCS), F.col("_n") * WIDE)) & (F.col("_ss") >= MIN_SOURCES)
+    cut = spread(slim, "_d").select("_d", "_s", F.explode(messages(F.col("_t"))).alias("_m"))
+    found = cut.withColumn("_h", F.xxhash64(normal(F.col("_m")))).withColumn("_k", by_itself(F.col("_m")))
+    plain = F.regexp_extract_all(F.lower("_m"), F.lit(_PLAIN), F.lit(0))
+    open_ = F.col("_k").isNull()
+    found = found.withColumn("_p", open_ & F.col("_m").rlike(_PROGRAM)).withColumn("_w", F.when(open_ & ~F.col("_p"), plain))
+    known = [_how_many(words) for words in FUNCTION_WORDS]
+    found = found.select("_d", "_s", "_m", "_h", "_k", "_p", F.size("_w").alias("_n"), *(k.alias(f"_n{i}") for i, k in enumerate(known)))
+    found = ws.keep(found, "messages")
+    found = found.where("_m IS NOT NULL")
+    undecided = found.where(F.col("_k").isNull() & may_be_message(F.col("_m")))
+    # hashes of document and source: fixed width, so the counts are combined before the shuffle
+    counts = undecided.groupBy("_h").agg(
+        F.count(F.lit(1)).alias("_c"), *(f(F.xxhash64(c)).alias(f"{c}{f.__name__}") for c in ("_d", "_s") for f in (F.min, F.max))
+    )
+    wide = counts.where((F.col("_c") >= MIN_DOCS) & F.expr("_dmin <> _dmax AND _smin <> _smax")).select("_h")
+    if not recurrence:
+        wide = wide.limit(0)
+    once = undecided.join(wide, "_h", "left_semi").groupBy("_h").agg(F.min("_m").alias("_m"))
+    told = once.select("_h", if_recurring(F.col("_m")).alias("_r")).where(F.col("_r") != CONTENT)
+    told = ws.keep(told, "told")
+    # a text of made-up words, judged on what is left of it
+    left = found.join(told, "_h", "left").withColumn("_k", F.coalesce("_k", "_r", F.lit(CONTENT)))
+    of = left.where(F.col("_k") == CONTENT).groupBy("_d").agg(
+        F.max("_p").alias("_p"), *(F.sum(F.greatest(F.col(c), F.lit(0))).alias(c) for c in ("_n", "_n0", "_n1", "_n2", "_n3"))
     )
-    joined = found.join(F.broadcast(wide.select("_h", "_c")), "_h", "left")
-    final = F.when(F.col("_k") != WEAK, F.col("_k")).when(F.col("_c").isNotNull(), F.lit(NOTICE)).otherwise(F.lit(CONTENT))
-    return joined.select(
+    made_up = of.where(~F.col("_p") & (F.col("_n") >= 4) & (F.greatest("_n0", "_n1", "_n2", "_n3") < RUNNING * F.col("_n")))
+    left = left.join(made_up.select("_d", F.lit(FILLER).alias("_g")), "_d", "left")
+    final = F.when(F.col("_k") == CONTENT, F.coalesce("_g", "_k")).otherwise(F.col("_k"))
+    return left.select(
         F.col("_d").alias(doc), F.col("_s").alias(source), F.col("_m").alias("message"), F.col("_h").alias("hash"), final.alias("class")
     )
 
 
-def without_content(segments_: DataFrame, doc: str) -> DataFrame:
+def without_content(messages_: DataFrame, doc: str) -> DataFrame:
     """Documents without content of their own, from ``classified``: ``doc, class``.
 
     A document is a case if it has an open slot, or if it has a hint, filler or notice and no
     content. ``class`` is the least number among the classes that made it one.
     """
-    per = segments_.groupBy(doc).agg(
+    per = messages_.groupBy(doc).agg(
         F.max((F.col("class") == SLOT).cast("int")).alias("_slot"),
         F.max((F.col("class") == CONTENT).cast("int")).alias("_content"),
         F.min(F.when(F.col("class").isin(HINT, FILLER, NOTICE), F.col("class"))).alias("_bad"),

@@ -1,5 +1,7 @@
 """Markup cleaning and residue detection."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,7 +123,6 @@ def test_odd_texts():
     assert "word" in M.clean("word " * 100_000).text
     for hard in ("[", "{{", "''", "*a", "\\(", "<code>", "x = aaa bbb ccc ", "$a", "| "):
         assert M.clean(hard * 4_000).text is not None
-        R.document_segments(hard * 4_000)
     assert M.clean("</p></td>").languages == ["html"]
 
 
@@ -157,12 +158,57 @@ GOOD = "The retry loop in io/x.py treats 502 Bad Gateway as fatal after 3 attemp
         (GOOD, R.CONTENT), ('The message "Too many requests" hides the real cause in a_b.', R.CONTENT), ("Skip to content", R.NEUTRAL), ("Request id: 12ab34cd", R.NEUTRAL), ("Environment:", R.NEUTRAL),
     ],
 )
-def test_segments(segment, kind):
-    assert R.classify(segment) == kind
-
-
-def test_masking():
-    assert R.masked("Error 17 at 2024-01-02T03:04:05Z from a@b.de, see https://x.y/z!") == R.masked("error 9 at 2023-11-12 from c@d.org, see http://q/w")
+def test_segments(spark, segment, kind):
+    """What a message is if it recurs widely."""
+    rows = [(i, segment, "ab"[i % 2]) for i in range(4)]
+    parts = R.classified(spark.createDataFrame(rows, "id int, t string, s string"), "id", "t", "s").collect()
+    kinds = {r["class"] for r in parts}
+    assert kinds == {kind} if len(parts) == 4 else kind in kinds and R.CONTENT not in kinds
+
+
+def test_masking(spark):
+    one, two = "Error 17 at 2024-01-02T03:04:05Z from a@b.de, see https://x.y/z!", "error 9 at 2023-11-12 from c@d.org, see http://q/w"
+    df = spark.createDataFrame([(one,), (two,), ("404 not found",), ("502 not found",)], "t string")
+    got = [r[0] for r in df.select(F.transform(R.messages(F.col("t")), R.normal)).collect()]
+    assert got[0] == got[1] == ["error 0 at 0 from @, see @"] and got[2] != got[3]
+
+
+PAGES = [
+    "HTTP Status 404 – Not Found", "The requested resource [/app] is not available", "502 Bad Gateway\nnginx/1.18.0 (Ubuntu)", "HTTP Error 400. The request hostname is invalid",
+    "Please complete the security check to access example.com", "Die angeforderte Seite existiert nicht", "Cette page n'existe plus", "La page demandée est introuvable", "La página solicitada no existe",
+    "This site doesn't work properly without JavaScript enabled.", "Redirecting...\nEnable JavaScript and cookies to continue", "Hmm. We're having trouble finding that site.", "Your connection is not private",
+    "Dear [Customer Name], your ticket [ticket number] is open.", "### Describe the bug\nA clear and concise description of what the bug is.\n\n### Steps to reproduce\n1.\n2.\n\n### Expected behavior\n",
+]
+OWN = [
+    "The build puts it in ${HOME}/bin for every user.", "The price in $usd and the vector x_{n} are stored.", "See [name](http://x) and a[id] for it.", "The page was broken in 3.2 and we fixed it.",
+    "Discussion cannot be shown.", "Tell us which release you run.", "Content coming soon.",
+]
+
+
+def test_pages_need_no_recurrence_and_own_words_do(spark):
+    df = spark.createDataFrame(list(enumerate(PAGES + OWN)), "id int, t string").withColumn("s", F.lit("a"))
+    got = {r["id"] for r in R.without_content(R.classified(df, "id", "t", "s"), "id").collect()}
+    assert got == set(range(len(PAGES)))
+
+
+def test_recurrence_decides(spark):
+    def cases(rows, **how):
+        df = spark.createDataFrame(rows, "id int, t string, s string")
+        return {r["id"] for r in R.without_content(R.classified(df, "id", "t", "s", **how), "id").collect()}
+
+    rows = [(i, f"Discussion {i} cannot be shown.", "ab"[i % 2]) for i in range(3)]
+    assert cases(rows) == {0, 1, 2} and cases(rows, recurrence=False) == set()
+    assert cases([(i, t, "a") for i, t, _ in rows]) == set()  # one source
+    assert cases(rows[:2]) == set()  # two documents
+    assert cases([(i, t, None if s == "a" else s) for i, t, s in rows]) == {0, 1, 2}  # null is a source
+
+
+def test_long_odd_texts(spark):
+    hard = ["[", "{{", "''", "*a", "\\(", "<code>", "x = aaa bbb ccc ", "$a", "| ", "- ", "a.b@", "tbd ", "<p ", "1.", "0-", "please ", "%a", " \u00a0"]
+    df = spark.createDataFrame([(i, h * 20_000) for i, h in enumerate(hard)], "id int, t string").withColumn("s", F.lit("a"))
+    began = time.time()
+    R.without_content(R.classified(df, "id", "t", "s"), "id").collect()
+    assert time.time() - began < 60
 
 
 def test_documents(spark):
