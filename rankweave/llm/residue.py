@@ -211,15 +211,18 @@ _PROGRAM = r"[_/\\\d]|\w\(|\p{Ll}\p{Lu}"
 
 _CLEAN = (
     (r"(?i)</?(?:html|head|body|title|h[1-6]|p|div|span|center|hr|br|noscript)(?:\s[^<>=]*=[^<>]*)?\s*/?>", "\n"),
-    (r"[ \t\x0B\f\x{A0}]+", " "),
+    (r"[ \t\x0B\f\x{A0}]{2,}|[\t\x0B\f\x{A0}]", " "),
     (r"(?m)^ ?(?:[-*+>#]+|\d+[.)]|\[\d\d:\d\d\] ?\w+:) ", ""),
-    (r"(?i)https?://\S*[\w/]|\[/[^\]\s]{0,200}\]|(?<![\w.])www\.\S*[\w/]|(?<![\w.+-])[\w.+-]{1,64}@[\w-]{1,64}\.[\w.-]{0,190}\w", "@"),
-    (r"\d{4}-\d\d-\d\d(?:[Tt ]\d\d:\d\d(?::\d\d)?[\w:.+-]*\w)?|\b\d\d?[./]\d\d?[./]\d{2,4}\b|\b\d\d?:\d\d(?::\d\d)?\b", "0"),
-    (r"\b(?=[a-fA-F]*\d)[0-9a-fA-F]{6,}\b", "0"),
-    # numbers, but not a status code that stands alone
-    (r"(?!(?<![\w.])[45]\d\d(?!\w|\.\d))(?<!\d)\d(?:[\d.]*\d)?", "0"),
+    (r"(?i)https?://\S*[\w/]|(?<![\w.+-])(?:www\.\S*[\w/]|[\w.+-]{1,64}+@[\w-]{1,64}\.[\w.-]{0,190}\w)|\[/[^\]\s]{0,200}\]", "@"),
+    (
+        r"\d{4}-\d\d-\d\d(?:[Tt ]\d\d:\d\d(?::\d\d)?[\w:.+-]*\w)?|\b\d\d?(?:[./]\d\d?[./]\d{2,4}|:\d\d(?::\d\d)?)\b"
+        r"|\b(?=[a-fA-F]{0,40}+\d)[0-9a-fA-F]{6,}\b"
+        # numbers, but not a status code that stands alone
+        r"|(?!(?<![\w.])[45]\d\d(?!\w|\.\d))(?<!\d)\d(?:[\d.]*\d)?",
+        "0",
+    ),
 )
-_CUT = r"[\r\n\x0B\f\x{85}\x{2028}\x{2029}]+|(?<=\s)[-–—|](?=\s)|(?<=[.!?])\s+"
+_CUT = r"[\r\n\x{85}\x{2028}\x{2029}]+| (?:[-–—|] |(?<=[.!?] )(?:[-–—|] )?)"
 
 
 def messages(text: Column) -> Column:
@@ -245,14 +248,15 @@ def _words(low: Column) -> Column:
 
 def may_be_message(message: Column) -> Column:
     """Whether phrase rules are for it: no mark of a report, not too long."""
-    return ~message.rlike(_REPORT_MARKS) & (_words(message) <= LONGEST)
+    often = reduce(Column.__or__, (message.contains(c) for c in ("_", "/", '"', "`", "\\", "{", "=")))
+    return ~often & (_words(message) <= LONGEST) & ~message.rlike(_REPORT_MARKS)
 
 
 def by_itself(message: Column) -> Column:
     """Class of a message by what needs no recurrence; null where that must decide."""
     low = normal(message)
     # a line without end mark, or a single word
-    title = ((~message.rlike(r"[.!?…]$") & (_words(message) <= TITLE)) | (_words(message) == 1)) & ~message.contains("/")
+    title = ((~F.substring(message, -1, 1).isin(".", "!", "?", "…") & (_words(message) <= TITLE)) | (_words(message) == 1)) & ~message.contains("/")
     tokens = F.filter(F.split(low, r"[ ,.!…:]+"), lambda t: t != "")
     dummies = F.filter(tokens, lambda t: t.isin(*DUMMIES))
     first = F.filter(F.slice(tokens, 1, 3), lambda t: t.isin(*DUMMIES))
@@ -280,7 +284,7 @@ def if_recurring(message: Column) -> Column:
     about = low.rlike(_any(_SITE, _PROJECT))
     kind = (
         F.when(low.rlike(_REPORT_WORDS), CONTENT)
-        .when(low.rlike(_SORRY) | (about & low.rlike(_any(_GONE, _TROUBLE))), NOTICE)
+        .when(low.rlike(_SORRY) | low.rlike(_any(_GONE)) | (about & low.rlike(_any(_TROUBLE))), NOTICE)
         .when((low.rlike(_any(_SCRIPT)) & low.rlike(_any(_DEMAND))) | low.rlike(_any(_LOGIN)), NOTICE)
         .when(low.rlike(_DUMMY), FILLER)
         .when((low.rlike(_ASK) & low.rlike(_FIELDS)) | low.rlike(_HINT), HINT)
@@ -296,7 +300,7 @@ def _how_many(words: tuple[str, ...]) -> Column:
 def classified(docs: DataFrame, doc: str, text: str, source: str, recurrence: bool = True) -> DataFrame:
     """``doc, source, message, hash, class`` of every different message of every document.
 
-    ``message`` is masked. Null and empty texts and rows without a document id have none; rows with
+    ``message`` is masked, and null where it can be content only. Null and empty texts and rows without a document id have none; rows with
     the same id count as one document. A null source is a source of its own. A text in which no
     function word stands among four words or more and nothing looks like a program is filler. With
     ``recurrence`` off, messages that need it are content.
@@ -307,14 +311,19 @@ def classified(docs: DataFrame, doc: str, text: str, source: str, recurrence: bo
     ).where("_t IS NOT NULL AND _d IS NOT NULL")
     cut = spread(slim, "_d").select("_d", "_s", F.explode(messages(F.col("_t"))).alias("_m"))
     found = cut.withColumn("_h", F.xxhash64(normal(F.col("_m")))).withColumn("_k", by_itself(F.col("_m")))
-    plain = F.regexp_extract_all(F.lower("_m"), F.lit(_PLAIN), F.lit(0))
     open_ = F.col("_k").isNull()
-    found = found.withColumn("_p", open_ & F.col("_m").rlike(_PROGRAM)).withColumn("_w", F.when(open_ & ~F.col("_p"), plain))
+    found = found.withColumn("_u", open_ & may_be_message(F.col("_m"))).withColumn("_p", open_ & F.col("_m").rlike(_PROGRAM))
+    # messages that look like a program need no count of words
+    plain = F.regexp_extract_all(F.lower("_m"), F.lit(_PLAIN), F.lit(0))
+    found = found.withColumn("_w", F.when(open_ & ~F.col("_p"), plain))
     known = [_how_many(words) for words in FUNCTION_WORDS]
-    found = found.select("_d", "_s", "_m", "_h", "_k", "_p", F.size("_w").alias("_n"), *(k.alias(f"_n{i}") for i, k in enumerate(known)))
+    # the text of content is not needed again
+    found = found.select(
+        "_d", "_s", F.when(~open_ | F.col("_u"), F.col("_m")).alias("_m"), "_h", "_k", "_u", "_p",
+        F.size("_w").alias("_n"), *(k.alias(f"_n{i}") for i, k in enumerate(known)),
+    )
     found = ws.keep(found, "messages")
-    found = found.where("_m IS NOT NULL")
-    undecided = found.where(F.col("_k").isNull() & may_be_message(F.col("_m")))
+    undecided = found.where("_u")
     # hashes of document and source: fixed width, so the counts are combined before the shuffle
     counts = undecided.groupBy("_h").agg(
         F.count(F.lit(1)).alias("_c"), *(f(F.xxhash64(c)).alias(f"{c}{f.__name__}") for c in ("_d", "_s") for f in (F.min, F.max))
