@@ -2,8 +2,10 @@
 
 Unit vectors, shifted by the mean of a bounded sample, are turned by Hadamard pseudo-rotations
 (random signs and a fast Walsh-Hadamard transform, three times). The nearest signed axis is the
-bucket; the next nearest axes are further probes. A vector is stored in its home bucket and in
-its probes, so two vectors meet wherever their probe sets share a bucket. A bucket compares all
+bucket; the next nearest axes are further probes. There are several independent tables, and the
+buckets of each are divided by a second and a third rotation as the collection grows, so that a
+bucket holds about as many vectors at every size. A vector is stored in all the buckets it probes,
+so two vectors meet wherever their probe sets share a bucket of any table. A bucket compares all
 its vectors, on the vectors themselves, and keeps the k best of each; the lists are then merged.
 
 For the shuffle the rows of a batch are packed: one row per bucket and batch with the ids and the
@@ -11,14 +13,15 @@ vectors as 16-bit fixed-point numbers relative to their greatest component. That
 within 3e-5; ``knn_pairs_at_least`` recomputes those near its threshold from the exact vectors.
 
 Exact copies are one vector with several ids, merged inside each batch before the shuffle, so a
-vector that makes up a third of the table costs a row per batch and probe. A bucket with more
-than BLOCK vectors is cut into sub-blocks and every pair of them becomes a group of its own.
+vector that makes up a third of the table costs a row per batch and probe; its list is handed to
+its other ids by a salted join at the end. A bucket with more than BLOCK vectors is cut into sub-blocks and every pair of them becomes a group of its own.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +32,12 @@ from rankweave.session import Workspace
 
 #: Vectors from which the mean is taken at most, chosen by hash of the id.
 SAMPLE = 20_000
-#: Vectors per bucket-level; above it buckets are divided by a second, partial hash.
-PER_LEVEL = 4_000_000
+#: Independent tables of buckets.
+TABLES = 2
+#: Vectors in a bucket on average, at most; more buckets are made above it.
+LOAD = 20_000
+#: Ids of one vector above which its rows are salted when the lists are handed to all its ids.
+HOT = 100_000
 #: Vectors that one group compares at most.
 BLOCK = 100_000
 #: Vectors whose lists one merge group holds on average.
@@ -59,27 +66,68 @@ def pseudo_rotate(x: np.ndarray, seed: int) -> np.ndarray:
     return y
 
 
-def probes(x: np.ndarray, count: int, second: int) -> np.ndarray:
-    """The ``count`` best buckets of each row, best first.
+class Scheme(NamedTuple):
+    """Which buckets there are and how many of each table a vector reaches."""
 
-    A bucket is a signed axis, and with ``second`` > 0 also a signed axis among the first
-    ``second`` of another rotation; the sum of both coordinates ranks the combinations.
+    tables: int
+    axes: tuple[int, ...]  # axes of a second rotation, a third ... that divide each bucket
+    count: int  # probes per table
+
+    def buckets(self, dim: int) -> int:
+        """Buckets of one table."""
+        return 2 * dim * math.prod(2 * a for a in self.axes)
+
+
+def scheme(n: int, dim: int, tables: int = TABLES, count: int | None = None) -> Scheme:
+    """Buckets in proportion to ``n`` vectors, and probes that never get fewer as ``n`` grows.
+
+    A table has the signed axes of a rotation as buckets. Where a bucket would hold more than LOAD
+    vectors on average, it is divided by axes of a second rotation, a third and so on, and each
+    table takes more probes: 4, then 5 and 1.6 for every doubling. A few thousand vectors or less
+    reach more of the buckets.
+    """
+    dim = 1 << max(0, dim - 1).bit_length()
+    least = max(4, -(-30_000 // max(n, 1)))
+    divide = 0
+    while True:
+        axes, left = [], divide
+        while left:
+            axes.append(min(left, dim))
+            left = -(-left // (2 * dim)) if left > dim else 0
+        parts = math.prod(2 * a for a in axes)
+        want = max(least, 5 + math.ceil(1.6 * math.log2(parts / 2))) if axes else least
+        got = Scheme(tables, tuple(axes), min(2 * dim, count or want))
+        if n * got.count <= LOAD * got.buckets(dim):
+            return got
+        divide = max(1, 2 * divide)
+
+
+def _best_axes(x: np.ndarray, seed: int, axes: int, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest ``count`` of the first ``axes`` signed axes of a rotation, and the coordinates there."""
+    y = pseudo_rotate(x, seed)[:, :axes]
+    y = np.concatenate([y, -y], axis=1)
+    top = np.argsort(-y, axis=1, kind="stable")[:, :count]
+    return top, np.take_along_axis(y, top, 1)
+
+
+def probes(x: np.ndarray, s: Scheme) -> np.ndarray:
+    """The best buckets of each row in every table, best first within a table.
+
+    A bucket is a signed axis of each of the table's rotations; the sum of the coordinates ranks
+    the combinations. Tables are numbered apart.
     """
-    y = pseudo_rotate(x, SEED)
-    first = np.concatenate([y, -y], axis=1)
-    count = min(count, first.shape[1])
-    top = np.argsort(-first, axis=1, kind="stable")[:, :count]
-    if not second:
-        return top.astype(np.int32)
-    z = pseudo_rotate(x, SEED + 1)[:, :second]
-    z = np.concatenate([z, -z], axis=1)
-    few = min(count, z.shape[1])
-    ztop = np.argsort(-z, axis=1, kind="stable")[:, :few]
-    both = np.take_along_axis(first, top, 1)[:, :, None] + np.take_along_axis(z, ztop, 1)[:, None, :]
-    best = np.argsort(-both.reshape(len(x), -1), axis=1, kind="stable")[:, :count]
-    a = np.take_along_axis(top, best // few, 1)
-    b = np.take_along_axis(ztop, best % few, 1)
-    return (a * z.shape[1] + b).astype(np.int32)
+    dim = 1 << max(0, x.shape[1] - 1).bit_length()
+    found = []
+    for t in range(s.tables):
+        at, value = _best_axes(x, SEED + 10 * t, dim, s.count)
+        for nth, axes in enumerate(s.axes, 1):
+            few, more = _best_axes(x, SEED + 10 * t + nth, axes, s.count)
+            both = (value[:, :, None] + more[:, None, :]).reshape(len(x), -1)
+            best = np.argsort(-both, axis=1, kind="stable")[:, : s.count]
+            value = np.take_along_axis(both, best, 1)
+            at = np.take_along_axis(at, best // few.shape[1], 1) * (2 * axes) + np.take_along_axis(few, best % few.shape[1], 1)
+        found.append(at + t * s.buckets(dim))
+    return np.concatenate(found, axis=1).astype(np.int32)
 
 
 def usable(ids: pa.Array, vectors: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -138,7 +186,7 @@ def fixed_point(x: np.ndarray) -> np.ndarray:
     return np.pad(q, ((0, 0), (0, -x.shape[1] % 4)))
 
 
-def _store(batches: Iterator[pa.RecordBatch], dim: int, mean: np.ndarray, count: int, second: int, k: int, groups: dict):
+def _store(batches: Iterator[pa.RecordBatch], dim: int, mean: np.ndarray, s: Scheme, k: int, groups: dict):
     """Rows of packed vectors for each bucket (and pair of sub-blocks) that a batch reaches."""
     schema = _STORED_SCHEMA
     for batch in batches:
@@ -148,8 +196,8 @@ def _store(batches: Iterator[pa.RecordBatch], dim: int, mean: np.ndarray, count:
         q = fixed_point(x)
         keep, at = merge_copies(q, ids)
         shifted = (x[keep] - mean).astype(np.float32)
-        where = probes(shifted, count, second)
-        sigs = np.sort(where, axis=1)
+        where = probes(shifted, s)
+        sigs = np.sort(where, axis=1).astype(_sig_kind(s, dim))
         several = np.bincount(at, minlength=len(keep)) > 1
         rid, rq = ids[keep], q[keep]
         mixed = _hash_rows(rq)
@@ -160,15 +208,15 @@ def _store(batches: Iterator[pa.RecordBatch], dim: int, mean: np.ndarray, count:
             nth = np.arange(len(o)) - np.repeat(starts, np.diff(np.r_[starts, len(o)]))
             few[o[nth <= k]] = True
         flat, row = where.ravel(), np.repeat(np.arange(len(keep)), where.shape[1])
-        is_home = np.tile(np.arange(where.shape[1]) == 0, len(keep))
+        is_home = np.tile(np.arange(where.shape[1]) == 0, len(keep))  # the best bucket of the first table
         order = np.argsort(flat, kind="stable")
         cut = np.flatnonzero(np.r_[True, np.diff(flat[order]) > 0, True])
         out: dict[str, list] = {n: [] for n in schema.names}
         for a, b in zip(cut[:-1], cut[1:], strict=True):
             here = order[a:b]
             bucket, g = int(flat[here[0]]), groups.get(int(flat[here[0]]), 1)
-            for s in range(g):
-                mine = here if g == 1 else here[_spread(mixed[row[here]], g) == s]
+            for u in range(g):
+                mine = here if g == 1 else here[_spread(mixed[row[here]], g) == u]
                 if not len(mine):
                     continue
                 r, home = row[mine], is_home[mine]
@@ -176,20 +224,22 @@ def _store(batches: Iterator[pa.RecordBatch], dim: int, mean: np.ndarray, count:
                 if several[r].any():
                     back = np.full(len(keep), -1, np.int64)
                     back[r] = np.arange(len(r))
-                    at_home = np.zeros(len(keep), bool)
-                    at_home[r] = home
-                    sel = (back[at] >= 0) & several[at] & (few | at_home[at])
+                    sel = (back[at] >= 0) & several[at] & few
                     copy_at, copy_id = back[at[sel]], ids[sel]
                 data = [
-                    rid[r].tobytes(), rq[r].tobytes(), sigs[r].astype(np.int32).tobytes(),
+                    rid[r].tobytes(), rq[r].tobytes(), sigs[r].tobytes(),
                     np.asarray(copy_at, np.int64).tobytes(), np.asarray(copy_id, np.int64).tobytes(), home.tobytes(),
                 ]
                 for t in range(g):  # a group for each pair of sub-blocks, those of one with itself included
-                    for n, v in zip(schema.names, [bucket, min(s, t) * g + max(s, t), int(s > t), *data], strict=True):
+                    for n, v in zip(schema.names, [bucket, min(u, t) * g + max(u, t), int(u > t), *data], strict=True):
                         out[n].append(v)
         yield pa.RecordBatch.from_pydict(out, schema=schema)
 
 
+def _sig_kind(s: Scheme, dim: int):
+    return np.int16 if s.tables * s.buckets(1 << max(0, dim - 1).bit_length()) < 1 << 15 else np.int32
+
+
 def _spread(ids: np.ndarray, g: int) -> np.ndarray:
     """A number below g for each id or row key."""
     with np.errstate(over="ignore"):
@@ -297,10 +347,10 @@ def _raise(bound: np.ndarray, keys: np.ndarray, k: int) -> None:
     bound[row[full]] = np.maximum(bound[row[full]], low)
 
 
-_LISTS = "part int, q binary, n binary, c binary, m_rep binary, m_id binary"
+_LISTS = "part int, q binary, n binary, c binary, rep binary, key binary"
 
 
-def _bucket(table: pa.Table, dim: int, k: int, parts: int, sub: dict[int, int]) -> pa.Table:
+def _bucket(table: pa.Table, dim: int, k: int, parts: int, sub: dict[int, int], sig_kind) -> pa.Table:
     """The lists of one group: a bucket, or two of its sub-blocks."""
 
     def joined(name: str, kind) -> np.ndarray:
@@ -310,7 +360,7 @@ def _bucket(table: pa.Table, dim: int, k: int, parts: int, sub: dict[int, int])
     groups = sub.get(bucket, 1)
     ids = joined("ids", np.int64)
     q = joined("vectors", np.int16).reshape(len(ids), -1)
-    sigs = joined("sigs", np.int32).reshape(len(ids), -1)
+    sigs = joined("sigs", sig_kind).reshape(len(ids), -1)
     home = joined("home", bool)
     sizes = [len(v.as_buffer()) // 8 for v in table.column("ids")]
     base = np.cumsum([0, *sizes[:-1]])
@@ -322,17 +372,15 @@ def _bucket(table: pa.Table, dim: int, k: int, parts: int, sub: dict[int, int])
     x /= np.sqrt((x * x).sum(axis=1))[:, None]
     side = side[keep]
     cross = bool(groups > 1 and pair // groups != pair % groups)
-    if len(keep) > 1 << 18:
-        raise ValueError("more vectors in one group than BLOCK allows for")
     row, other, cos = block_top(x, k, side if cross else None)
     ids_, sigs = ids[keep], sigs[keep]
     # a pair is reported by the first bucket that both vectors have
     mine, theirs = sigs[row], sigs[other]
-    shared = np.where((mine[:, :, None] == theirs[:, None, :]).any(axis=2), mine, np.iinfo(np.int32).max).min(axis=1)
+    shared = np.where((mine[:, :, None] == theirs[:, None, :]).any(axis=2), mine, np.iinfo(sig_kind).max).min(axis=1)
     ok = shared == bucket
     row, other, cos = row[ok], other[ok], cos[ok]
     qs, ns, cs = [ids_[row]], [ids_[other]], [cos]
-    m_rep, m_id = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    rep, key = np.zeros(0, np.int64), np.zeros((0, 2), np.int64)
     # copies: those merged in the batches and those merged here
     pairs = np.unique(
         np.concatenate([np.stack([at[copy_at], copy_id], 1), np.stack([at, ids], 1)]), axis=0
@@ -365,17 +413,23 @@ def _bucket(table: pa.Table, dim: int, k: int, parts: int, sub: dict[int, int])
         qs.append(ids_[own[:, 0]])
         ns.append(own[:, 1])
         cs.append(np.ones(len(own), np.float32))
-        rest = pairs[at_home[pairs[:, 0]]]
-        m_rep, m_id = ids_[rest[:, 0]], rest[:, 1]
+        # every id of the vector gets its list later, found by key
+        mine = np.unique(own[:, 0])
+        rep, key = ids_[mine], _keys(q[keep[mine]])
     qq, nn, cc = np.concatenate(qs), np.concatenate(ns), np.concatenate(cs)
-    return _lists(qq, nn, cc, m_rep, m_id, parts)
+    return _lists(qq, nn, cc, rep, key, parts)
+
 
+def _keys(q: np.ndarray) -> np.ndarray:
+    """Two 64-bit keys of each row."""
+    return np.stack([_hash_rows(q), _hash_rows(np.ascontiguousarray(q[:, ::-1]))], axis=1)
 
-_LISTS_SCHEMA = pa.schema([("part", pa.int32()), *[(c, pa.binary()) for c in ("q", "n", "c", "m_rep", "m_id")]])
 
+_LISTS_SCHEMA = pa.schema([("part", pa.int32()), *[(c, pa.binary()) for c in ("q", "n", "c", "rep", "key")]])
 
-def _lists(q, n, c, m_rep, m_id, parts: int) -> pa.Table:
-    p, pm = _spread(q, parts), _spread(m_rep, parts)
+
+def _lists(q, n, c, rep, key, parts: int) -> pa.Table:
+    p, pm = _spread(q, parts), _spread(rep, parts)
     order, orderm = np.argsort(p, kind="stable"), np.argsort(pm, kind="stable")
     at = np.searchsorted(p[order], np.arange(parts + 1))
     atm = np.searchsorted(pm[orderm], np.arange(parts + 1))
@@ -385,7 +439,7 @@ def _lists(q, n, c, m_rep, m_id, parts: int) -> pa.Table:
         if len(o) or len(om):
             for name, v in zip(
                 _LISTS_SCHEMA.names,
-                (i, q[o].tobytes(), n[o].tobytes(), c[o].tobytes(), m_rep[om].tobytes(), m_id[om].tobytes()),
+                (i, q[o].tobytes(), n[o].tobytes(), c[o].tobytes(), rep[om].tobytes(), key[om].tobytes()),
                 strict=True,
             ):
                 out[name].append(v)
@@ -397,24 +451,21 @@ def _merge(table: pa.Table, k: int) -> pa.Table:
         return np.concatenate([np.frombuffer(v.as_buffer(), kind) for v in table.column(name)])
 
     q, n, c = joined("q", np.int64), joined("n", np.int64), joined("c", np.float32)
-    m_rep, m_id = joined("m_rep", np.int64), joined("m_id", np.int64)
+    rep, key = joined("rep", np.int64), joined("key", np.int64).reshape(-1, 2)
     order = np.lexsort((n, -c, q))
     q, n, c = q[order], n[order], c[order]
     same = np.r_[False, (q[1:] == q[:-1]) & (n[1:] == n[:-1])] if len(q) else np.zeros(0, bool)
     q, n, c = q[~same], n[~same], c[~same]
-    grouped = np.isin(q, m_rep)  # vectors with copies: their lists hold their own ids too
+    grouped = np.isin(q, rep)  # vectors with copies: their lists hold their own ids too
     single = _ranked(q[~grouped], n[~grouped], c[~grouped], k, drop_self=True)
-    out = [single]
-    if len(m_rep):
-        q, n, c = q[grouped], n[grouped], c[grouped]
-        _, first = np.unique(np.stack([m_rep, m_id], 1), axis=0, return_index=True)
-        m_rep, m_id = m_rep[first], m_id[first]
-        lo, hi = np.searchsorted(q, m_rep, "left"), np.searchsorted(q, m_rep, "right")
-        hi = np.minimum(hi, lo + k + 1)
-        take = np.repeat(lo, hi - lo) + (np.arange((hi - lo).sum()) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo))
-        out.append(_ranked(np.repeat(m_id, hi - lo), n[take], c[take], k, drop_self=True))
-    q, n, c, r = (np.concatenate(v) for v in zip(*out, strict=True))
-    return pa.table({"vec_id": q, "neighbour": n, "cosine": c, "rank": r.astype(np.int32)})
+    rep, first = np.unique(rep, return_index=True)
+    several = _ranked(q[grouped], n[grouped], c[grouped], k + 1, drop_self=False)
+    keys = np.zeros((len(single[0]) + len(several[0]), 2), np.int64)
+    if len(rep):
+        keys[len(single[0]) :] = key[first][np.searchsorted(rep, several[0])]
+    q, n, c, r = (np.concatenate(v) for v in zip(single, several, strict=True))
+    many = np.arange(len(q)) >= len(single[0])
+    return pa.table({"vec_id": q, "neighbour": n, "cosine": c, "rank": r.astype(np.int32), "many": many, "key_a": keys[:, 0], "key_b": keys[:, 1]})
 
 
 def _ranked(q, n, c, k: int, drop_self: bool):
@@ -427,26 +478,13 @@ def _ranked(q, n, c, k: int, drop_self: bool):
     return q[ok], n[ok], c[ok], nth[ok] + 1
 
 
-def probe_count(n: int, second: int = 0) -> int:
-    """Probes that keep the recall level; never fewer for a larger collection.
-
-    Some hundred vectors are compared with all others, seven thousand or more take 6 probes each.
-    Buckets divided by ``second`` axes are smaller, so they take more: 10 for 2 axes and 3 more
-    for every doubling, measured at 2 million vectors to find 0.9 of the neighbours or more.
-    """
-    least = max(6, -(-40_000 // max(n, 1)))
-    if second:
-        least = max(least + 3, 7 + math.ceil(3 * math.log2(second)))
-    return min(128, least)
-
-
-def knn(df: DataFrame, vec_id: str, vector: str, dim: int, k: int = 10, count: int | None = None) -> DataFrame:
+def knn(df: DataFrame, vec_id: str, vector: str, dim: int, k: int = 10, plan: Scheme | None = None) -> DataFrame:
     """``vec_id, neighbour, cosine, rank``: the k most similar vectors of every usable vector.
 
     Usable: ``dim`` finite values, not all 0, and an id. Other rows neither ask nor answer. Equal
     cosines go by ascending id, so exact copies find each other first. A vector that meets fewer
-    than k others has fewer rows. ``cosine`` is within 3e-5 of the exact one. ``count`` probes
-    per vector, by default as ``probe_count`` says.
+    than k others has fewer rows. ``cosine`` is within 3e-5 of the exact one. Buckets and probes
+    are those of ``plan``, by default as ``scheme`` says.
     """
     spark = df.sparkSession
     slim = df.select(F.col(f"`{vec_id}`").cast("bigint").alias("id"), F.col(f"`{vector}`").cast("array<float>").alias("v"))
@@ -465,35 +503,65 @@ def knn(df: DataFrame, vec_id: str, vector: str, dim: int, k: int = 10, count: i
     got = picked.mapInArrow(sums, "s binary, n bigint").collect()  # one row a task
     num = sum(r["n"] for r in got)
     mean = sum((np.frombuffer(r["s"]) for r in got), np.zeros(dim)) / max(1, num)
-    levels = -(-n // PER_LEVEL)
-    second = 0 if levels <= 1 else min(dim, levels)
-    count = count or probe_count(n, second)
+    plan = plan or scheme(n, dim)
     groups: dict[int, int] = {}
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _store(batches, dim, mean, count, second, k, groups)
-
-    expected = n * count / (128 if not second else 256 * second)
-    if expected * 8 > BLOCK:  # a bucket may exceed a block: count first
-        def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                ids, x = usable(*_arrays(batch), dim)
-                if len(ids):
-                    keep, _ = merge_copies(fixed_point(x), ids)
-                    rows = np.bincount(probes((x[keep] - mean).astype(np.float32), count, second).ravel())
-                    some = np.flatnonzero(rows)
-                    yield pa.RecordBatch.from_pydict({"bucket": some.astype(np.int32), "rows": rows[some]})
-
-        big = slim.mapInArrow(tally, "bucket int, rows bigint").groupBy("bucket").agg(F.sum("rows").alias("rows"))
-        # at most count * n / BLOCK buckets can be that large
-        for r in big.where(F.col("rows") > BLOCK).collect():
+        yield from _store(batches, dim, mean, plan, k, groups)
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, x = usable(*_arrays(batch), dim)
+            if len(ids):
+                keep, _ = merge_copies(fixed_point(x), ids)
+                rows = np.bincount(probes((x[keep] - mean).astype(np.float32), plan).ravel())
+                some = np.flatnonzero(rows)
+                yield pa.RecordBatch.from_pydict({"bucket": some.astype(np.int32), "rows": rows[some]})
+
+    if n > BLOCK:  # no bucket can exceed a block otherwise
+        sizes = slim.mapInArrow(tally, "bucket int, rows bigint").groupBy("bucket").agg(F.sum("rows").alias("rows"))
+        # at most (probes of all vectors) / BLOCK buckets can be that large
+        for r in sizes.where(F.col("rows") > BLOCK).collect():
             groups[r["bucket"]] = -(-r["rows"] // (BLOCK // 2))
-    parts = max(1, min(4096, -(-n // MERGE)))
+    parts = max(1, -(-n // MERGE))
+    sig_kind = _sig_kind(plan, dim)
     stored = slim.mapInArrow(store, _STORED)
-    lists = stored.groupBy("bucket", "pair").applyInArrow(lambda t: _bucket(t, dim, k, parts, groups), _LISTS)
-    return lists.groupBy("part").applyInArrow(
-        lambda t: _merge(t, k), "vec_id bigint, neighbour bigint, cosine float, rank int"
+    lists = stored.groupBy("bucket", "pair").applyInArrow(lambda t: _bucket(t, dim, k, parts, groups, sig_kind), _LISTS)
+    merged = lists.groupBy("part").applyInArrow(
+        lambda t: _merge(t, k),
+        "vec_id bigint, neighbour bigint, cosine float, rank int, many boolean, key_a bigint, key_b bigint",
     )
+    merged = Workspace(spark, "knn").keep(merged, "lists")
+    single = merged.where("NOT many").select("vec_id", "neighbour", "cosine", "rank")
+    many = merged.where("many")
+    return single if many.isEmpty() else single.unionByName(_to_all_ids(slim, many, dim, k))
+
+
+def _to_all_ids(slim: DataFrame, many: DataFrame, dim: int, k: int) -> DataFrame:
+    """The list of a repeated vector for each of its ids, the id itself left out.
+
+    A vector may make up a third of the table: a key with more than HOT ids is salted, its list
+    copied once per salt. At most (rows) / HOT keys are that large, which bounds the broadcast.
+    """
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, x = usable(*_arrays(batch), dim)
+            keys = _keys(fixed_point(x)) if len(ids) else np.zeros((0, 2), np.int64)
+            yield pa.RecordBatch.from_pydict({"id": ids, "key_a": keys[:, 0], "key_b": keys[:, 1]})
+
+    keys = ["key_a", "key_b"]
+    of = slim.mapInArrow(keyed, "id bigint, key_a bigint, key_b bigint")
+    hot = of.groupBy(keys).count().where(F.col("count") > HOT).select(*keys, F.expr(f"int(count div {HOT}) + 1").alias("salts"))
+    salts = F.coalesce("salts", F.lit(1))
+    ids = of.join(F.broadcast(hot), keys, "left").select(*keys, "id", F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt"))
+    list_ = F.sort_array(F.collect_list(F.struct("rank", "neighbour", "cosine"))).alias("list")
+    lists = many.groupBy(keys).agg(list_).join(F.broadcast(hot), keys, "left")
+    lists = lists.select(*keys, "list", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    others = F.expr("filter(list, x -> x.neighbour <> id)")
+    return ids.join(lists, [*keys, "salt"]).select(
+        F.col("id").alias("vec_id"), F.posexplode(F.slice(others, 1, k)).alias("at", "x")
+    ).select("vec_id", "x.neighbour", "x.cosine", (F.col("at") + 1).alias("rank"))
 
 
 #: A cosine this near a threshold is computed again from the exact vectors.

@@ -63,15 +63,18 @@ def test_recall_and_cosines(spark):
     assert all(sorted(r for r, _ in v.values()) == list(range(1, 11)) for v in got.values())
 
 
-def test_probes_do_not_fall_with_size():
-    counts = [N.probe_count(n) for n in (7_000, 20_000, 200_000, 2_000_000, 4_000_000)]
-    assert min(counts) >= 6 and counts == sorted(counts)
-    divided = [N.probe_count(levels * N.PER_LEVEL, levels) for levels in (2, 4, 8, 20, 64)]
-    assert divided[0] > counts[-1] and divided == sorted(set(divided))
-
-
-@pytest.mark.parametrize("second", [2, 4, 8])
-def test_recall_of_divided_buckets(second):
+def test_buckets_grow_with_size_and_probes_do_not_fall():
+    sizes = [8_000, 20_000, 200_000, 2_000_000, 20_000_000, 200_000_000, 10**10]
+    plans = [N.scheme(n, 64) for n in sizes]
+    probes = [p.count for p in plans]
+    assert min(probes) >= 4 and probes == sorted(probes) and probes[-1] > probes[2]
+    assert all(n * p.count <= N.LOAD * p.buckets(64) for n, p in zip(sizes, plans, strict=True))
+    assert all(p.buckets(64) <= max(128, 8 * n * p.count / N.LOAD) for n, p in zip(sizes, plans, strict=True))
+    assert len(plans[-1].axes) > 2
+
+
+@pytest.mark.parametrize("n", [800_000, 2_000_000, 6_000_000])
+def test_recall_of_divided_buckets(n):
     rng = np.random.default_rng(5)
     centres = rng.standard_normal((50, 64)) * 2
     x = centres[rng.integers(0, 50, 40_000)] + rng.standard_normal((40_000, 64))
@@ -79,7 +82,9 @@ def test_recall_of_divided_buckets(second):
     s = x[:200] @ x.T
     s[np.arange(200), np.arange(200)] = -9
     near = np.argsort(-s, axis=1)[:, :10]
-    where = N.probes((x - x.mean(axis=0)).astype(np.float32), N.probe_count(second * N.PER_LEVEL, second), second)
+    plan = N.scheme(n, 64)
+    assert plan.axes
+    where = N.probes((x - x.mean(axis=0)).astype(np.float32), plan)
     met = (where[:200, None, :, None] == where[near][:, :, None, :]).any(axis=(2, 3))
     assert met.mean() >= 0.9
 
@@ -88,9 +93,9 @@ def test_sub_blocks_lose_nothing(spark, monkeypatch):
     rng = np.random.default_rng(2)
     x = rng.standard_normal((900, 64)) + 3  # one crowded direction
     monkeypatch.setattr(N, "BLOCK", 100)
-    got = lists(N.knn(table(spark, x), "vec_id", "embedding", 64, count=6))
+    got = lists(N.knn(table(spark, x), "vec_id", "embedding", 64, plan=N.Scheme(1, (), 6)))
     monkeypatch.undo()
-    whole = lists(N.knn(table(spark, x), "vec_id", "embedding", 64, count=6))
+    whole = lists(N.knn(table(spark, x), "vec_id", "embedding", 64, plan=N.Scheme(1, (), 6)))
     assert {k: set(v) for k, v in got.items()} == {k: set(v) for k, v in whole.items()}
 
 
@@ -98,7 +103,7 @@ def test_second_level(spark, monkeypatch):
     rng = np.random.default_rng(3)
     x = rng.standard_normal((1500, 64))
     x[1::2] = x[::2] + 0.05 * rng.standard_normal((750, 64))
-    monkeypatch.setattr(N, "PER_LEVEL", 500)
+    monkeypatch.setattr(N, "LOAD", 50)
     pairs = N.knn_pairs_at_least(table(spark, x), "vec_id", "embedding", 64, 0.92)
     got = {tuple(r) for r in pairs.collect()}
     assert {(i, i + 1) for i in range(0, 1500, 2)} <= got
