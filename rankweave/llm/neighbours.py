@@ -32,8 +32,6 @@ from rankweave.session import Workspace
 
 #: Vectors from which the mean is taken at most, chosen by hash of the id.
 SAMPLE = 20_000
-#: Independent tables of buckets.
-TABLES = 2
 #: Vectors in a bucket on average, at most; more buckets are made above it.
 LOAD = 20_000
 #: Ids of one vector above which its rows are salted when the lists are handed to all its ids.
@@ -69,25 +67,24 @@ def pseudo_rotate(x: np.ndarray, seed: int) -> np.ndarray:
 class Scheme(NamedTuple):
     """Which buckets there are and how many of each table a vector reaches."""
 
-    tables: int
     axes: tuple[int, ...]  # axes of a second rotation, a third ... that divide each bucket
-    count: int  # probes per table
+    counts: tuple[int, ...]  # probes in each table
 
     def buckets(self, dim: int) -> int:
         """Buckets of one table."""
         return 2 * dim * math.prod(2 * a for a in self.axes)
 
 
-def scheme(n: int, dim: int, tables: int = TABLES, count: int | None = None) -> Scheme:
+def scheme(n: int, dim: int) -> Scheme:
     """Buckets in proportion to ``n`` vectors, and probes that never get fewer as ``n`` grows.
 
     A table has the signed axes of a rotation as buckets. Where a bucket would hold more than LOAD
     vectors on average, it is divided by axes of a second rotation, a third and so on, and each
-    table takes more probes: 4, then 5 and 1.6 for every doubling. A few thousand vectors or less
-    reach more of the buckets.
+    table takes more probes: 5 in the first and 2 in the second table, then 5 in each and 1.6 for
+    every doubling. A few thousand vectors or less reach more of the buckets.
     """
     dim = 1 << max(0, dim - 1).bit_length()
-    least = max(4, -(-30_000 // max(n, 1)))
+    least = -(-30_000 // max(n, 1))
     divide = 0
     while True:
         axes, left = [], divide
@@ -95,9 +92,9 @@ def scheme(n: int, dim: int, tables: int = TABLES, count: int | None = None) ->
             axes.append(min(left, dim))
             left = -(-left // (2 * dim)) if left > dim else 0
         parts = math.prod(2 * a for a in axes)
-        want = max(least, 5 + math.ceil(1.6 * math.log2(parts / 2))) if axes else least
-        got = Scheme(tables, tuple(axes), min(2 * dim, count or want))
-        if n * got.count <= LOAD * got.buckets(dim):
+        wants = (5 + math.ceil(1.6 * math.log2(parts / 2)),) * 2 if axes else (5, 2)
+        got = Scheme(tuple(axes), tuple(min(2 * dim, max(least, w)) for w in wants))
+        if n * max(got.counts) <= LOAD * got.buckets(dim):
             return got
         divide = max(1, 2 * divide)
 
@@ -118,12 +115,12 @@ def probes(x: np.ndarray, s: Scheme) -> np.ndarray:
     """
     dim = 1 << max(0, x.shape[1] - 1).bit_length()
     found = []
-    for t in range(s.tables):
-        at, value = _best_axes(x, SEED + 10 * t, dim, s.count)
+    for t, count in enumerate(s.counts):
+        at, value = _best_axes(x, SEED + 10 * t, dim, count)
         for nth, axes in enumerate(s.axes, 1):
-            few, more = _best_axes(x, SEED + 10 * t + nth, axes, s.count)
+            few, more = _best_axes(x, SEED + 10 * t + nth, axes, count)
             both = (value[:, :, None] + more[:, None, :]).reshape(len(x), -1)
-            best = np.argsort(-both, axis=1, kind="stable")[:, : s.count]
+            best = np.argsort(-both, axis=1, kind="stable")[:, :count]
             value = np.take_along_axis(both, best, 1)
             at = np.take_along_axis(at, best // few.shape[1], 1) * (2 * axes) + np.take_along_axis(few, best % few.shape[1], 1)
         found.append(at + t * s.buckets(dim))
@@ -197,7 +194,7 @@ def _store(batches: Iterator[pa.RecordBatch], dim: int, mean: np.ndarray, s: Sch
         keep, at = merge_copies(q, ids)
         shifted = (x[keep] - mean).astype(np.float32)
         where = probes(shifted, s)
-        sigs = np.sort(where, axis=1).astype(_sig_kind(s, dim))
+        sigs = (where - _offsets(s, dim)).astype(_sig_kind(s, dim))
         several = np.bincount(at, minlength=len(keep)) > 1
         rid, rq = ids[keep], q[keep]
         mixed = _hash_rows(rq)
@@ -236,8 +233,16 @@ def _store(batches: Iterator[pa.RecordBatch], dim: int, mean: np.ndarray, s: Sch
         yield pa.RecordBatch.from_pydict(out, schema=schema)
 
 
+def _offsets(s: Scheme, dim: int) -> np.ndarray:
+    """Where the table of each probe begins."""
+    buckets = s.buckets(1 << max(0, dim - 1).bit_length())
+    return np.repeat(np.arange(len(s.counts), dtype=np.int32) * buckets, s.counts)
+
+
 def _sig_kind(s: Scheme, dim: int):
-    return np.int16 if s.tables * s.buckets(1 << max(0, dim - 1).bit_length()) < 1 << 15 else np.int32
+    """The least type that holds a bucket within its table."""
+    buckets = s.buckets(1 << max(0, dim - 1).bit_length())
+    return np.uint8 if buckets <= 1 << 8 else np.uint16 if buckets <= 1 << 16 else np.int32
 
 
 def _spread(ids: np.ndarray, g: int) -> np.ndarray:
@@ -350,7 +355,7 @@ def _raise(bound: np.ndarray, keys: np.ndarray, k: int) -> None:
 _LISTS = "part int, q binary, n binary, c binary, rep binary, key binary"
 
 
-def _bucket(table: pa.Table, dim: int, k: int, parts: int, sub: dict[int, int], sig_kind) -> pa.Table:
+def _bucket(table: pa.Table, dim: int, k: int, parts: int, sub: dict[int, int], s: Scheme) -> pa.Table:
     """The lists of one group: a bucket, or two of its sub-blocks."""
 
     def joined(name: str, kind) -> np.ndarray:
@@ -360,7 +365,7 @@ def _bucket(table: pa.Table, dim: int, k: int, parts: int, sub: dict[int, int],
     groups = sub.get(bucket, 1)
     ids = joined("ids", np.int64)
     q = joined("vectors", np.int16).reshape(len(ids), -1)
-    sigs = joined("sigs", sig_kind).reshape(len(ids), -1)
+    sigs = joined("sigs", _sig_kind(s, dim)).reshape(len(ids), -1) + _offsets(s, dim)
     home = joined("home", bool)
     sizes = [len(v.as_buffer()) // 8 for v in table.column("ids")]
     base = np.cumsum([0, *sizes[:-1]])
@@ -376,7 +381,7 @@ def _bucket(table: pa.Table, dim: int, k: int, parts: int, sub: dict[int, int],
     ids_, sigs = ids[keep], sigs[keep]
     # a pair is reported by the first bucket that both vectors have
     mine, theirs = sigs[row], sigs[other]
-    shared = np.where((mine[:, :, None] == theirs[:, None, :]).any(axis=2), mine, np.iinfo(sig_kind).max).min(axis=1)
+    shared = np.where((mine[:, :, None] == theirs[:, None, :]).any(axis=2), mine, np.iinfo(np.int32).max).min(axis=1)
     ok = shared == bucket
     row, other, cos = row[ok], other[ok], cos[ok]
     qs, ns, cs = [ids_[row]], [ids_[other]], [cos]
@@ -524,9 +529,8 @@ def knn(df: DataFrame, vec_id: str, vector: str, dim: int, k: int = 10, plan: Sc
         for r in sizes.where(F.col("rows") > BLOCK).collect():
             groups[r["bucket"]] = -(-r["rows"] // (BLOCK // 2))
     parts = max(1, -(-n // MERGE))
-    sig_kind = _sig_kind(plan, dim)
     stored = slim.mapInArrow(store, _STORED)
-    lists = stored.groupBy("bucket", "pair").applyInArrow(lambda t: _bucket(t, dim, k, parts, groups, sig_kind), _LISTS)
+    lists = stored.groupBy("bucket", "pair").applyInArrow(lambda t: _bucket(t, dim, k, parts, groups, plan), _LISTS)
     merged = lists.groupBy("part").applyInArrow(
         lambda t: _merge(t, k),
         "vec_id bigint, neighbour bigint, cosine float, rank int, many boolean, key_a bigint, key_b bigint",
