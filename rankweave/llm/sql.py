@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rankweave.functions.text import ident_tokens_sql
+from rankweave.plans.sql_text import ident_tokens_sql
 
 _QUALIFIED = "list_extract(string_split(id, '::'), -1)"
 _TERMS = f"""
