@@ -6,14 +6,16 @@ from pyspark.sql import Column, functions as F
 
 # The words that carry no localization signal (core list).
 STOP_CORE = tuple(
-    """
+    dict.fromkeys(
+        """
 a an the and or of to in is are was were be been being for on at by with as from that this
 it its we you they he she i not no do does did done can could should would will shall may
 might must have has had if then else when while but so such into over under about
-error errors issue bug issues bugs python code line lines function functions class classes
+error errors issue bug issue bugs python code line lines function functions class classes
 file files repo repository traceback stack trace expected actual got when where which
 what why how use used using new old version versions please thanks thank hi hello
 """.split()
+    )
 )
 # The shorter list lacks these four words.
 STOP_SHORT = tuple(w for w in STOP_CORE if w not in ("he", "she", "hi", "hello"))
@@ -94,31 +96,3 @@ def project_of_instance(instance_id: Column) -> Column:
 def source_key(source: Column) -> Column:
     """A source name trimmed and in lower case."""
     return F.lower(F.regexp_replace(source, r"^\s+|\s+$", ""))
-
-
-def stop_sql(stop: tuple[str, ...] = STOP_CORE) -> str:
-    return "(" + ", ".join(f"'{w}'" for w in dict.fromkeys(stop)) + ")"
-
-
-def camel_sql(token: str) -> str:
-    """Camel-case parts as a DuckDB list; its regular expressions have no lookahead."""
-    spaced = rf"regexp_replace({token}, '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g')"
-    return f"regexp_extract_all({spaced}, '[A-Z][a-z][a-z0-9]*|[A-Z]+|[a-z0-9]+')"
-
-
-def ident_tokens_sql(text: str, stop: tuple[str, ...] = STOP_CORE) -> str:
-    """``ident_tokens`` as a DuckDB expression."""
-    parts = f"list_filter({camel_sql('t')}, lambda p: length(p) > 1)"
-    few = f"list_filter(list_transform({parts}, lambda p: lower(p)), lambda p: p NOT IN {stop_sql(stop)})"
-    return (
-        f"flatten(list_transform(list_filter(regexp_extract_all(coalesce({text}, ''), '{IDENT}'), "
-        f"lambda t: lower(t) NOT IN {stop_sql(stop)}), "
-        f"lambda t: CASE WHEN length({parts}) > 1 THEN list_concat([lower(t)], {few}) ELSE [lower(t)] END))"
-    )
-
-
-def words_sql(text: str) -> str:
-    """``words`` as a DuckDB expression."""
-    camel = f"list_transform({camel_sql('t')}, lambda p: lower(p))"
-    every = f"list_transform(regexp_extract_all(coalesce({text}, ''), '{NAME}'), lambda t: list_concat([lower(t)], {camel}))"
-    return f"list_filter(flatten({every}), lambda t: length(t) > 2)"

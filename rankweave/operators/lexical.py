@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from rankweave.functions.text import IDENT, ident_tokens, qualified_name, words
+from rankweave.functions.text import IDENT, STOP_CORE, ident_tokens, qualified_name, words
 from rankweave.session import Workspace, spread
 
 K1, B = 1.5, 0.75
@@ -46,28 +46,37 @@ def bm25(docs: DataFrame, queries: DataFrame, group: str, doc: str, tokens: str,
 
 
 def ranked(scores: DataFrame, group: str, doc: str) -> DataFrame:
-    """Adds ``lex`` (score to six places) and ``lex_rank`` from 1; ties by document."""
+    """Adds ``lex`` and ``lex_rank`` from 1; ties by document.
+
+    The score is kept to nine places: enough to tell any two scores apart that differ by more than
+    the order of summation, which no two runs share.
+    """
     order = Window.partitionBy(group).orderBy(F.col("lex").desc(), doc)
-    return scores.select(group, doc, F.round("score", 6).alias("lex")).withColumn("lex_rank", F.row_number().over(order))
+    return scores.select(group, doc, F.round("score", 9).alias("lex")).withColumn("lex_rank", F.row_number().over(order))
+
+
+def six_places(score: Column) -> Column:
+    """A score as it is shown."""
+    return F.floor(score * 1e6 + 0.5) / 1e6
 
 
-def name_documents(nodes: DataFrame) -> DataFrame:
+def name_documents(nodes: DataFrame, stop: tuple[str, ...] = STOP_CORE) -> DataFrame:
     """``instance_id, idx, tokens``: identifier tokens of qualified name and signature."""
-    tokens = F.concat(ident_tokens(qualified_name(F.col("id"))), ident_tokens(F.col("sig")))
+    tokens = F.concat(ident_tokens(qualified_name(F.col("id")), stop), ident_tokens(F.col("sig"), stop))
     return nodes.select("instance_id", "idx", tokens.alias("tokens"))
 
 
-def issue_terms(instances: DataFrame) -> DataFrame:
+def issue_terms(instances: DataFrame, stop: tuple[str, ...] = STOP_CORE) -> DataFrame:
     """``instance_id, term``: each identifier of an issue is split once, however often it occurs."""
     found = F.regexp_extract_all(F.col("issue"), F.lit(IDENT), F.lit(0))
     toks = spread(instances, "instance_id").select("instance_id", F.explode(found).alias("tok")).distinct()
-    return toks.select("instance_id", F.explode(ident_tokens(F.col("tok"))).alias("term")).distinct()
+    return toks.select("instance_id", F.explode(ident_tokens(F.col("tok"), stop)).alias("term")).distinct()
 
 
-def name_scores(nodes: DataFrame, instances: DataFrame) -> DataFrame:
+def name_scores(nodes: DataFrame, instances: DataFrame, stop: tuple[str, ...] = STOP_CORE) -> DataFrame:
     """``instance_id, idx, lex, lex_rank`` of the nodes of every instance that has an issue."""
-    docs = name_documents(spread(nodes, "instance_id", "idx").join(instances.select("instance_id"), "instance_id", "left_semi"))
-    return ranked(bm25(docs, issue_terms(instances), "instance_id", "idx", "tokens"), "instance_id", "idx")
+    docs = name_documents(spread(nodes, "instance_id", "idx").join(instances.select("instance_id"), "instance_id", "left_semi"), stop)
+    return ranked(bm25(docs, issue_terms(instances, stop), "instance_id", "idx", "tokens"), "instance_id", "idx")
 
 
 def file_scores(nodes: DataFrame, instances: DataFrame) -> DataFrame:

@@ -6,10 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from rankweave.functions.text import qualified_name
+from rankweave.functions.text import STOP_SHORT, qualified_name
 from rankweave.operators.corpus import Corpus, indexed_nodes, resolved_edges, undirected
 from rankweave.operators.expand import bfs, pagerank, seeds
-from rankweave.operators.lexical import name_scores
+from rankweave.operators.lexical import name_scores, six_places
 
 # Sort keys of each policy over a pool with hop, lex, flag and pr; (name, descending).
 POLICIES: dict[str, tuple[tuple[str, bool], ...]] = {
@@ -32,11 +32,6 @@ def order_by(policy: str, node: str = "idx") -> list[Column]:
     return [F.col(c).desc() if down else F.col(c).asc() for c, down in keys] + [F.col(node).asc()]
 
 
-def order_sql(policy: str) -> str:
-    keys = POLICIES[ALIASES.get(policy, policy)]
-    return ", ".join([f"{c} {'DESC' if down else 'ASC'}" for c, down in keys] + ["idx ASC"])
-
-
 def rank_by(pool: DataFrame, policy: str, keys: Sequence[str] = ("instance_id",)) -> DataFrame:
     """Adds ``rank`` from 1 in the order of the policy; the node index breaks every tie."""
     return pool.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order_by(policy))))
@@ -83,7 +78,7 @@ def present(ranked: DataFrame, nodes: DataFrame, scores: DataFrame, top_n: int)
         .join(by.join(seed, ["instance_id", "seed_idx"]), ["instance_id", "seed_rank"], "left")
         .select(
             "instance_id", "rank", "node", "file", "kind", F.col("hop").alias("hops"),
-            F.when(F.col("hop") == 0, "seed").otherwise(F.concat(F.lit("hop"), F.col("hop"))).alias("via"), F.col("lex").alias("lexical"), "reached_by",
+            F.when(F.col("hop") == 0, "seed").otherwise(F.concat(F.lit("hop"), F.col("hop"))).alias("via"), six_places(F.col("lex")).alias("lexical"), "reached_by",
         )
     )
 
@@ -92,7 +87,7 @@ def skill_tables(c: Corpus) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Nodes with tests, their scores, and the nodes reached from ten seeds with a cap of 200."""
 
     def scores() -> DataFrame:
-        return name_scores(c.nodes_with_tests, c.instances)
+        return name_scores(c.nodes_with_tests, c.instances, STOP_SHORT)
 
     def reached() -> DataFrame:
         adj = undirected(resolved_edges(c.raw("graph_edges"), c.nodes_with_tests))

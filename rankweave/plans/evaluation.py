@@ -8,6 +8,7 @@ from rankweave.functions import stats as S, text as T
 from rankweave.operators import evaluate as E, features as X, measures as M, rank as R
 from rankweave.operators.corpus import Corpus
 from rankweave.operators.expand import CAPS
+from rankweave.plans import sql_text as Q
 from rankweave.plans.prefix import QN
 from rankweave.plans.registry import query
 from rankweave.plans.retrieval import ARITY_SQL, COMMAS_SQL, GRAPH_SUMMARY_SQL, LEXICAL_FIRST_SQL
@@ -34,7 +35,7 @@ _COVERAGE = {
     "cov_ranked": _ranked_sql(HOP, "(SELECT r.instance_id, h.h, r.idx, r.hop, s.lex FROM reach r JOIN scores s USING (instance_id, idx), cov_h h WHERE r.k = 10 AND r.hop <= h.h)", "instance_id, h"),
     "cov_best": _best_sql("cov_ranked", "instance_id, h"),
     "cov_hit": f"""SELECT u.instance_id, u.repo, h.h, b.b AS budget, coalesce((x.best <= b.b)::INTEGER, 0) AS hit
-  FROM usable u CROSS JOIN cov_h h CROSS JOIN {_grid(E.COVERAGE_BUDGETS, "b")} b LEFT JOIN cov_best x ON x.instance_id = u.instance_id AND x.h = h.h""",
+  FROM usable u CROSS JOIN cov_h h CROSS JOIN {_grid(Q.COVERAGE_BUDGETS, "b")} b LEFT JOIN cov_best x ON x.instance_id = u.instance_id AND x.h = h.h""",
 }
 
 
@@ -55,7 +56,7 @@ def _(c: Corpus) -> DataFrame:
 
 
 @query("ag1_lexical_coverage", f"""
-SELECT b.b AS budget, round(avg(coalesce((x.best <= b.b)::INTEGER, 0)), 6) AS coverage FROM usable u CROSS JOIN {_grid(E.COVERAGE_BUDGETS, "b")} b
+SELECT b.b AS budget, round(avg(coalesce((x.best <= b.b)::INTEGER, 0)), 6) AS coverage FROM usable u CROSS JOIN {_grid(Q.COVERAGE_BUDGETS, "b")} b
 LEFT JOIN (SELECT instance_id, min(lex_rank) AS best FROM scores SEMI JOIN targets USING (instance_id, idx) GROUP BY ALL) x USING (instance_id) GROUP BY ALL""")
 def _(c: Corpus) -> DataFrame:
     best = E.best_rank(c.scores.withColumnRenamed("lex_rank", "rank"), c.targets)
@@ -105,7 +106,7 @@ _GRID = {
 @query("ag2_accuracy_grid", f"""
 SELECT g.k AS seed_k, h.h AS hops, b.b AS at, round(avg(coalesce((x.best <= b.b)::INTEGER, 0)), 6) AS acc,
   round(avg(coalesce((l.best <= b.b)::INTEGER, 0)), 6) AS lexical
-FROM usable u CROSS JOIN (SELECT unnest([5, 10, 20])::INTEGER AS k) g CROSS JOIN (SELECT unnest([1, 2, 3])::INTEGER AS h) h CROSS JOIN {_grid(E.ACC_KS, "b")} b
+FROM usable u CROSS JOIN (SELECT unnest([5, 10, 20])::INTEGER AS k) g CROSS JOIN (SELECT unnest([1, 2, 3])::INTEGER AS h) h CROSS JOIN {_grid(Q.ACC_KS, "b")} b
 LEFT JOIN acc_best x ON x.instance_id = u.instance_id AND x.k = g.k AND x.h = h.h LEFT JOIN lex_best l ON l.instance_id = u.instance_id GROUP BY ALL""", _GRID)
 def _(c: Corpus) -> DataFrame:
     reached = c.reach.where(F.col("k").isin(5, 10, 20) & (F.col("hop") <= 3)).join(c.scores, ["instance_id", "idx"])
@@ -126,7 +127,7 @@ _SEED = {
 
 @query("ag3_seed_sweep", f"""
 SELECT g.k, b.b AS budget, round(avg(coalesce((x.best <= b.b)::INTEGER, 0)), 6) AS coverage FROM usable u
-CROSS JOIN (SELECT unnest([1, 5, 10, 20, 50, 100])::INTEGER AS k) g CROSS JOIN {_grid(E.SWEEP_BUDGETS, "b")} b
+CROSS JOIN (SELECT unnest([1, 5, 10, 20, 50, 100])::INTEGER AS k) g CROSS JOIN {_grid(Q.SWEEP_BUDGETS, "b")} b
 LEFT JOIN sw_best x ON x.instance_id = u.instance_id AND x.k = g.k GROUP BY ALL""", _SEED)
 def _(c: Corpus) -> DataFrame:
     reached = c.reach.where("k <> 3 AND hop <= 3").join(c.scores, ["instance_id", "idx"])
@@ -144,7 +145,7 @@ _ABLATION = {
 
 @query("ag4_ordering_ablation", f"""
 SELECT o.ordering, b.b AS budget, round(avg(coalesce((x.best <= b.b)::INTEGER, 0)), 6) AS coverage FROM usable u
-CROSS JOIN (SELECT unnest(['lexical_first', 'hop_first', 'all_lexical']) AS ordering) o CROSS JOIN {_grid(E.SWEEP_BUDGETS, "b")} b
+CROSS JOIN (SELECT unnest(['lexical_first', 'hop_first', 'all_lexical']) AS ordering) o CROSS JOIN {_grid(Q.SWEEP_BUDGETS, "b")} b
 LEFT JOIN lf_best x ON x.instance_id = u.instance_id AND x.ordering = o.ordering GROUP BY ALL""", _ABLATION)
 def _(c: Corpus) -> DataFrame:
     """The ablation as published, the hop order, and what the ablation was meant to be: all nodes by score."""
@@ -169,7 +170,7 @@ _CAP = {
 @query("ag5_cap_sweep", f"""
 SELECT g.cap, b.b AS budget, round(avg(coalesce((x.best <= b.b)::INTEGER, 0)), 6) AS coverage, round(any_value(z.pool), 6) AS mean_pool,
   round(any_value(z.maxhop), 6) AS mean_radius
-FROM usable u CROSS JOIN {_grid(CAPS, "cap")} g CROSS JOIN {_grid(E.CAP_BUDGETS, "b")} b
+FROM usable u CROSS JOIN {_grid(Q.CAPS, "cap")} g CROSS JOIN {_grid(Q.CAP_BUDGETS, "b")} b
 LEFT JOIN cap_best x ON x.instance_id = u.instance_id AND x.cap = g.cap JOIN cap_size z ON z.cap = g.cap GROUP BY g.cap, b.b""", _CAP)
 def _(c: Corpus) -> DataFrame:
     ranked = R.rank_by(c.capped.join(c.scores, ["instance_id", "idx"]), "hop", ["instance_id", "cap"])
@@ -184,7 +185,7 @@ def _(c: Corpus) -> DataFrame:
 _RULES = {
     "pool_pr": "SELECT p.*, coalesce(round(r.pr, 9), 0) AS pr FROM pool p LEFT JOIN pr39 r USING (instance_id, idx)",
     "rule_best": " UNION ALL ".join(
-        f"SELECT '{p}' AS rule, instance_id, min(rank) AS best FROM ({_ranked_sql(R.order_sql(p), 'pool_pr')}) SEMI JOIN targets USING (instance_id, idx) GROUP BY ALL"
+        f"SELECT '{p}' AS rule, instance_id, min(rank) AS best FROM ({_ranked_sql(Q.ORDERS[p], 'pool_pr')}) SEMI JOIN targets USING (instance_id, idx) GROUP BY ALL"
         for p in R.POLICIES
     ),
 }
@@ -193,7 +194,7 @@ _RULES = {
 @query("ag6_rule_split_means", f"""
 SELECT r.rule, b.b AS k, CASE WHEN CAST('0x' || right(md5(u.instance_id), 1) AS INTEGER) % 2 = 0 THEN 'dev' ELSE 'test' END AS split,
   round(avg(coalesce((x.best <= b.b)::INTEGER, 0)), 6) AS acc
-FROM usable u CROSS JOIN (SELECT unnest([{", ".join(f"'{p}'" for p in R.POLICIES)}]) AS rule) r CROSS JOIN {_grid(E.RULE_KS, "b")} b
+FROM usable u CROSS JOIN (SELECT unnest([{", ".join(f"'{p}'" for p in Q.ORDERS)}]) AS rule) r CROSS JOIN {_grid(Q.RULE_KS, "b")} b
 LEFT JOIN rule_best x ON x.instance_id = u.instance_id AND x.rule = r.rule GROUP BY ALL""", _RULES)
 def _(c: Corpus) -> DataFrame:
     pool = R.with_pagerank(c)
@@ -210,7 +211,7 @@ _POLICY = {
     "lo_best": "SELECT instance_id, min(rank) AS best FROM (" + _ranked_sql("lex DESC, idx", "pool") + ") SEMI JOIN targets USING (instance_id, idx) GROUP BY ALL",
     "bm_best": "SELECT instance_id, min(rank) AS best FROM (" + _ranked_sql(HOP, "pool") + ") SEMI JOIN targets USING (instance_id, idx) GROUP BY ALL",
     "pol": f"""SELECT u.instance_id, u.repo, b.b AS budget, coalesce((l.best <= b.b)::INTEGER, 0) AS lex, coalesce((m.best <= b.b)::INTEGER, 0) AS mix
-  FROM usable u CROSS JOIN {_grid(E.SWEEP_BUDGETS, "b")} b LEFT JOIN lo_best l USING (instance_id) LEFT JOIN bm_best m USING (instance_id)""",
+  FROM usable u CROSS JOIN {_grid(Q.SWEEP_BUDGETS, "b")} b LEFT JOIN lo_best l USING (instance_id) LEFT JOIN bm_best m USING (instance_id)""",
 }
 
 
@@ -569,20 +570,22 @@ def _(c: Corpus) -> DataFrame:
 
 # ---- paired statistics
 
+_DRAWS = """
+SELECT r.rep, CAST('0x' || left(md5(r.rep || '|' || i.i), 8) AS BIGINT) % i.m AS i
+FROM (SELECT unnest(range(0, 4000)) AS rep) r CROSS JOIN (SELECT unnest(range(0, m)) AS i, m FROM (SELECT count(*) AS m FROM usable)) i"""
 _BOOT = """
-boot AS MATERIALIZED (SELECT r.rep, k.k, avg(t.direct) AS direct, avg(t.exp1) AS exp1, avg(t.exp2) AS exp2
-  FROM (SELECT unnest(range(0, 200)) AS rep) r CROSS JOIN (SELECT unnest([1, 5, 20, 50])::INTEGER AS k) k CROSS JOIN (SELECT unnest(range(0, m)) AS i FROM (SELECT count(*) AS m FROM usable)) i
-  JOIN bi t ON t.k = k.k AND t.i = CAST('0x' || left(md5(r.rep || '|' || i.i), 8) AS BIGINT) % (SELECT count(*) FROM usable) GROUP BY ALL)"""
+SELECT d.rep, t.k, sum(t.direct)::BIGINT AS direct, sum(t.exp1)::BIGINT AS exp1, sum(t.exp2)::BIGINT AS exp2, count(*) AS m
+FROM draws d JOIN bi t USING (i) GROUP BY ALL"""
 _BI = {"bi": "SELECT instance_id, k, direct, exp1, exp2, row_number() OVER (PARTITION BY k ORDER BY instance_id) - 1 AS i FROM t_hit"}
 
 
-#: Resamples of the published intervals; the SQL of st3 and st4 has 200.
+#: Resamples of the published intervals.
 RESAMPLES = 4_000
 _ARMS = [(k, x) for k in (1, 5, 20, 50) for x in ("direct", "exp1", "exp2")]
 
 
-def bootstrap(c: Corpus, reps: int = 200) -> DataFrame:
-    """``rep, k, direct, exp1, exp2``: means of resamples drawn by md5 of repetition and position.
+def bootstrap(c: Corpus, reps: int = RESAMPLES) -> DataFrame:
+    """``rep, k, direct, exp1, exp2, m``: hits in resamples of m, drawn by md5 of repetition and position.
 
     The twelve outcomes of an instance are one number, sent to all executors; draws are counted
     by repetition and outcomes before the shuffle.
@@ -598,44 +601,39 @@ def bootstrap(c: Corpus, reps: int = 200) -> DataFrame:
     n = drawn.join(F.broadcast(rows), "i").groupBy("rep", "bits").agg(F.count(F.lit(1)).alias("n"))
     of = [F.struct(F.lit(k).alias("k"), *[F.expr(f"shiftright(bits, {b}) & 1").alias(x) for b, (k_, x) in enumerate(_ARMS) if k_ == k]) for k in (1, 5, 20, 50)]
     long = n.where("n > 0").select("rep", "n", F.inline(F.array(*of)))
-    return long.groupBy("rep", "k").agg(*[(F.sum(F.col("n") * F.col(x)) / F.sum("n")).alias(x) for x in ("direct", "exp1", "exp2")])
+    return long.groupBy("rep", "k").agg(F.sum("n").alias("m"), *[F.sum(F.col("n") * F.col(x)).alias(x) for x in ("direct", "exp1", "exp2")])
 
 
-_BOOT_FINAL = "SELECT k, round(avg(exp2 - direct), 6) AS mean, round(quantile_cont(exp2 - direct, 0.025), 6) AS lo, round(quantile_cont(exp2 - direct, 0.975), 6) AS hi FROM boot GROUP BY k"
+_BOOT_FINAL = """SELECT k, round(sum(exp2 - direct) / sum(m)::DOUBLE, 6) AS mean, round(quantile_cont((exp2 - direct) / m::DOUBLE, 0.025), 6) AS lo,
+  round(quantile_cont((exp2 - direct) / m::DOUBLE, 0.975), 6) AS hi FROM boot GROUP BY k"""
+_BOOT_CTES = _SETS | _BI | {"draws": _DRAWS, "boot": _BOOT}
 
 
-def _gain(c: Corpus, reps: int) -> DataFrame:
-    g = F.col("exp2") - F.col("direct")
-    got = bootstrap(c, reps).groupBy("k").agg(F.avg(g).alias("m"), F.percentile(g, [0.025, 0.975]).alias("p"))
-    return got.select("k", F.round("m", 6).alias("mean"), F.round(F.col("p")[0], 6).alias("lo"), F.round(F.col("p")[1], 6).alias("hi"))
+def _mean(of: Column) -> Column:
+    return F.round(F.sum(of) / F.sum("m"), 6)
 
 
-@query("st3_bootstrap_gain", _BOOT_FINAL, _SETS | _BI | {"boot": _BOOT.split("MATERIALIZED (", 1)[1][:-1]})
-def _(c: Corpus) -> DataFrame:
-    return _gain(c, 200)
-
+def _bounds(of: Column) -> Column:
+    return F.percentile(of / F.col("m"), [0.025, 0.975])
 
-def _arms(c: Corpus, reps: int) -> DataFrame:
-    got = bootstrap(c, reps).groupBy("k").agg(*[F.round(F.avg(x), 6).alias(x) for x in ("direct", "exp1", "exp2")],
-                                              F.round(F.avg(F.col("exp1") - F.col("direct")), 6).alias("gain1"), F.percentile("direct", [0.025, 0.975]).alias("p"))
-    return got.select("k", "direct", "exp1", "exp2", "gain1", F.round(F.col("p")[0], 6).alias("direct_lo"), F.round(F.col("p")[1], 6).alias("direct_hi"))
 
-
-@query("st4_bootstrap_arms", "SELECT k, round(avg(direct), 6) AS direct, round(avg(exp1), 6) AS exp1, round(avg(exp2), 6) AS exp2, round(avg(exp1 - direct), 6) AS gain1, round(quantile_cont(direct, 0.025), 6) AS direct_lo, round(quantile_cont(direct, 0.975), 6) AS direct_hi FROM boot GROUP BY k", _SETS | _BI | {"boot": _BOOT.split("MATERIALIZED (", 1)[1][:-1]})
+@query("st3_bootstrap_gain", _BOOT_FINAL, _BOOT_CTES)
 def _(c: Corpus) -> DataFrame:
-    return _arms(c, 200)
+    gain = F.col("exp2") - F.col("direct")
+    got = bootstrap(c).groupBy("k").agg(_mean(gain).alias("mean"), _bounds(gain).alias("p"))
+    return got.select("k", "mean", F.round(F.col("p")[0], 6).alias("lo"), F.round(F.col("p")[1], 6).alias("hi"))
 
 
-@query("st3_bootstrap_gain_4000")
+@query("st4_bootstrap_arms", """
+SELECT k, round(sum(direct) / sum(m)::DOUBLE, 6) AS direct, round(sum(exp1) / sum(m)::DOUBLE, 6) AS exp1, round(sum(exp2) / sum(m)::DOUBLE, 6) AS exp2,
+  round(sum(exp1 - direct) / sum(m)::DOUBLE, 6) AS gain1, round(sum(exp2 - direct) / sum(m)::DOUBLE, 6) AS gain2,
+  round(quantile_cont(direct / m::DOUBLE, 0.025), 6) AS direct_lo, round(quantile_cont(direct / m::DOUBLE, 0.975), 6) AS direct_hi FROM boot GROUP BY k""", _BOOT_CTES)
 def _(c: Corpus) -> DataFrame:
-    """As ``st3_bootstrap_gain``, with all the resamples of the published interval."""
-    return _gain(c, RESAMPLES)
-
-
-@query("st4_bootstrap_arms_4000")
-def _(c: Corpus) -> DataFrame:
-    """As ``st4_bootstrap_arms``, with all the resamples of the published interval."""
-    return _arms(c, RESAMPLES)
+    got = bootstrap(c).groupBy("k").agg(
+        *[_mean(F.col(x)).alias(x) for x in ("direct", "exp1", "exp2")],
+        *[_mean(F.col(x) - F.col("direct")).alias(g) for x, g in (("exp1", "gain1"), ("exp2", "gain2"))], _bounds(F.col("direct")).alias("p"),
+    )
+    return got.select("k", "direct", "exp1", "exp2", "gain1", "gain2", F.round(F.col("p")[0], 6).alias("direct_lo"), F.round(F.col("p")[1], 6).alias("direct_hi"))
 
 
 @query("st2_mcnemar", f"""
@@ -657,10 +655,10 @@ def _(c: Corpus) -> DataFrame:
 
 _BASE = {
     "pb": f"""SELECT p.*, n.id, n.kind, n.file, n.sig, {QN} AS qn, coalesce(d.deg, 0) AS deg, coalesce(o.outs, 0) AS outs, (f.file IS NOT NULL) AS seed_file,
-    list_distinct({T.ident_tokens_sql(QN)}) AS a, list_distinct({T.ident_tokens_sql("sig")}) AS g, i.toks AS b
+    list_distinct({Q.ident_tokens_sql(QN)}) AS a, list_distinct({Q.ident_tokens_sql("sig")}) AS g, i.toks AS b
   FROM pool p JOIN nodes n USING (instance_id, idx) LEFT JOIN deg d USING (instance_id, idx) LEFT JOIN outs o USING (instance_id, idx)
   LEFT JOIN (SELECT DISTINCT instance_id, file FROM pool JOIN nodes USING (instance_id, idx) WHERE hop = 0) f USING (instance_id, file)
-  JOIN (SELECT instance_id, list_distinct({T.ident_tokens_sql("issue")}) AS toks FROM inst) i USING (instance_id)""",
+  JOIN (SELECT instance_id, list_distinct({Q.ident_tokens_sql("issue")}) AS toks FROM inst) i USING (instance_id)""",
 }
 _DUNDER = "(starts_with(qn, '__') AND ends_with(qn, '__'))"
 _JAC = "coalesce(length(list_intersect(a, b)) / nullif(length(list_distinct(list_concat(a, b))), 0)::DOUBLE, 0)"
@@ -669,7 +667,7 @@ _FEATURES_SQL = {
     "lex_norm": _NORM, "hop": "hop::DOUBLE", "consensus": "ln(1 + flag)", "seed_flag": "(hop = 0)::INTEGER::DOUBLE", "degree_norm": "ln(1 + deg) / 10",
     "in_degree": "ln(1 + greatest(deg - outs, 0)) / 10", "out_degree": "ln(1 + outs) / 10", "same_file_seed": "seed_file::INTEGER::DOUBLE",
     "name_in_issue": "(length(list_intersect(a, b)) > 0)::INTEGER::DOUBLE", "sig_overlap": _JAC, "is_private": "starts_with(qn, '_')::INTEGER::DOUBLE",
-    "is_dunder": f"{_DUNDER}::INTEGER::DOUBLE", "is_test_adjacent": f"regexp_matches(file, '{T.TEST_PATH}')::INTEGER::DOUBLE", "n_args": ARITY_SQL,
+    "is_dunder": f"{_DUNDER}::INTEGER::DOUBLE", "is_test_adjacent": f"regexp_matches(file, '{Q.TEST_PATH}')::INTEGER::DOUBLE", "n_args": ARITY_SQL,
     "size_norm": "least(ln(1 + deg), 6) / 6", "is_method": "(contains(id, '::') AND NOT starts_with(qn, '__'))::INTEGER::DOUBLE", "reach_mass": "power(0.5, hop)",
     "rank_in_pool": "(row_number() OVER (PARTITION BY instance_id ORDER BY lex DESC, idx) - 1) / count(*) OVER (PARTITION BY instance_id)::DOUBLE",
 }
@@ -696,7 +694,7 @@ def _count(pattern: str) -> str:
     return f"length(regexp_extract_all(issue, '{pattern}'))::DOUBLE"
 
 
-_ISSUE_SQL = f"""SELECT instance_id, {_count(T.NAME)} AS n_words, regexp_matches(issue, '{X.TRACE}')::INTEGER::DOUBLE AS has_trace, contains(issue, '```')::INTEGER::DOUBLE AS has_fence,
+_ISSUE_SQL = f"""SELECT instance_id, {_count(Q.NAME)} AS n_words, regexp_matches(issue, '{X.TRACE}')::INTEGER::DOUBLE AS has_trace, contains(issue, '```')::INTEGER::DOUBLE AS has_fence,
   {_count("```")} / 2.0 AS n_fence, {_count(X.TEST_WORDS)} AS test_words, {_count(X.MOCK_WORDS)} AS mock_words, {_count(X.PUNCT)} AS punct,
   round(length(regexp_replace(issue, '[^\\p{{Lu}}]', '', 'g')) / greatest(length(issue), 1)::DOUBLE, 6) AS upper_ratio FROM inst"""
 

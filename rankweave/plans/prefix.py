@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import re
 
-from rankweave.functions.text import ident_tokens_sql, words_sql
-from rankweave.operators.expand import CAPS, SEED_SIZES
-from rankweave.operators.lexical import B, K1
+from rankweave.plans.sql_text import B, CAP_AFTER, CAPS, K1, SEED_SIZES, STOP_TOOL, ident_tokens_sql, words_sql
 
 QN = "list_extract(string_split(id, '::'), -1)"
 
@@ -59,7 +57,7 @@ def bm25_ctes(name: str, docs: str, doc: str, queries: str) -> dict[str, str]:
   JOIN {name}_stat s USING (instance_id) GROUP BY ALL""",
         name: f"""
   SELECT instance_id, {doc}, lex, CAST(row_number() OVER (PARTITION BY instance_id ORDER BY lex DESC, {doc}) AS INTEGER) AS lex_rank
-  FROM (SELECT d.instance_id, d.{doc}, round(coalesce(s.score, 0), 6) AS lex FROM {docs} d LEFT JOIN {name}_sum s USING (instance_id, {doc}))""",
+  FROM (SELECT d.instance_id, d.{doc}, round(coalesce(s.score, 0), 9) AS lex FROM {docs} d LEFT JOIN {name}_sum s USING (instance_id, {doc}))""",
     }
 
 
@@ -103,14 +101,15 @@ CTES: dict[str, str] = {
   SELECT instance_id, idx, list_concat({ident_tokens_sql(QN)}, {ident_tokens_sql("sig")}) AS toks
   FROM nodes SEMI JOIN inst USING (instance_id)""",
     "docs_all": f"""
-  SELECT instance_id, idx, list_concat({ident_tokens_sql(QN)}, {ident_tokens_sql("sig")}) AS toks
+  SELECT instance_id, idx, list_concat({ident_tokens_sql(QN, STOP_TOOL)}, {ident_tokens_sql("sig", STOP_TOOL)}) AS toks
   FROM nodes_all SEMI JOIN inst USING (instance_id)""",
     "docs_file": f"""
   SELECT instance_id, file, list_distinct({ident_tokens_sql("file")}) AS toks
   FROM (SELECT DISTINCT instance_id, file FROM nodes SEMI JOIN inst USING (instance_id))""",
     "qterms": f"SELECT DISTINCT instance_id, term FROM (SELECT instance_id, unnest({ident_tokens_sql('issue')}) AS term FROM inst)",
+    "qterms_tool": f"SELECT DISTINCT instance_id, term FROM (SELECT instance_id, unnest({ident_tokens_sql('issue', STOP_TOOL)}) AS term FROM inst)",
     **bm25_ctes("scores", "docs", "idx", "qterms"),
-    **bm25_ctes("scores_all", "docs_all", "idx", "qterms"),
+    **bm25_ctes("scores_all", "docs_all", "idx", "qterms_tool"),
     **bm25_ctes("scores_file", "docs_file", "file", "qterms"),
     "seeds": f"""
   SELECT s.instance_id, k.k, s.idx, s.lex_rank AS seed_rank
@@ -120,7 +119,8 @@ CTES: dict[str, str] = {
   SELECT s.*, c.cap FROM seeds s, (SELECT unnest([{", ".join(map(str, CAPS))}])::INTEGER AS cap) c WHERE s.k = 10""",
     **bfs_ctes("capped", "cap_seeds", ["instance_id", "k", "cap"], "adj", 12, "cap"),
     "after_seeds": "SELECT * FROM seeds WHERE k = 10",
-    **bfs_ctes("after", "after_seeds", ["instance_id", "k"], "adj", 3, "100", after=True),
+    **bfs_ctes("after", "after_seeds", ["instance_id", "k"], "adj", 3, str(CAP_AFTER), after=True),
+    **bfs_ctes("after_100", "after_seeds", ["instance_id", "k"], "adj", 3, "100", after=True),
     "cons_seeds": "SELECT instance_id, idx, idx AS seed, seed_rank FROM seeds WHERE k = 10",
     **bfs_ctes("cons", "cons_seeds", ["instance_id", "seed"], "adj", 3),
     "skill_seeds": "SELECT instance_id, idx, lex_rank AS seed_rank FROM scores_all WHERE lex_rank <= 10",
@@ -139,7 +139,7 @@ CTES: dict[str, str] = {
   SELECT w.instance_id, w.idx, sum(q.qt * w.w) AS dot FROM tw w JOIN tq q USING (instance_id, term) GROUP BY ALL""",
     "tfidf": """
   SELECT instance_id, idx, lex, CAST(row_number() OVER (PARTITION BY instance_id ORDER BY lex DESC, idx) AS INTEGER) AS lex_rank
-  FROM (SELECT d.instance_id, d.idx, round(coalesce(t.dot / (CASE WHEN n.norm > 0 THEN n.norm ELSE 1 END) / q.qn, 0), 6) AS lex
+  FROM (SELECT d.instance_id, d.idx, round(coalesce(t.dot / (CASE WHEN n.norm > 0 THEN n.norm ELSE 1 END) / q.qn, 0), 9) AS lex
     FROM tdocs d LEFT JOIN tdot t USING (instance_id, idx)
     LEFT JOIN (SELECT instance_id, idx, sqrt(sum(w * w)) AS norm FROM tw GROUP BY ALL) n USING (instance_id, idx)
     LEFT JOIN (SELECT instance_id, sqrt(sum(qt * qt)) AS qn FROM tq GROUP BY ALL) q USING (instance_id))""",

@@ -8,6 +8,7 @@ from rankweave.functions import text as T
 from rankweave.operators import lexical as L, measures as M, rank as R
 from rankweave.operators.corpus import Corpus
 from rankweave.operators.expand import bfs, pagerank, seed_consensus, seeds, shortest_paths
+from rankweave.plans import sql_text as Q
 from rankweave.plans.prefix import QN
 from rankweave.plans.registry import query
 
@@ -89,7 +90,7 @@ def _(c: Corpus) -> DataFrame:
 
 @query(
     "str3_ident_tokens",
-    f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({T.ident_tokens_sql('text')}) AS term FROM documents) GROUP BY ALL",
+    f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({Q.ident_tokens_sql('text')}) AS term FROM documents) GROUP BY ALL",
 )
 def _(c: Corpus) -> DataFrame:
     docs = c.raw("documents").select("doc_id", F.explode(T.ident_tokens(F.col("text"))).alias("term"))
@@ -98,26 +99,26 @@ def _(c: Corpus) -> DataFrame:
 
 @query(
     "str4_short_stop_list",
-    f"SELECT term, count(*) AS n FROM (SELECT unnest({T.ident_tokens_sql('text', T.STOP_SHORT)}) AS term FROM documents) GROUP BY ALL",
+    f"SELECT term, count(*) AS n FROM (SELECT unnest({Q.ident_tokens_sql('text', Q.STOP_TOOL)}) AS term FROM documents) GROUP BY ALL",
 )
 def _(c: Corpus) -> DataFrame:
     docs = c.raw("documents").select(F.explode(T.ident_tokens(F.col("text"), T.STOP_SHORT)).alias("term"))
     return docs.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("str5_words", f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({T.words_sql('text')}) AS term FROM documents) GROUP BY ALL")
+@query("str5_words", f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({Q.words_sql('text')}) AS term FROM documents) GROUP BY ALL")
 def _(c: Corpus) -> DataFrame:
     docs = c.raw("documents").select("doc_id", F.explode(T.words(F.col("text"))).alias("term"))
     return docs.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-@query("str2_camel_parts", f"SELECT instance_id, idx, part, count(*) AS n FROM (SELECT instance_id, idx, unnest({T.camel_sql(QN)}) AS part FROM nodes) GROUP BY ALL")
+@query("str2_camel_parts", f"SELECT instance_id, idx, part, count(*) AS n FROM (SELECT instance_id, idx, unnest({Q.camel_sql(QN)}) AS part FROM nodes) GROUP BY ALL")
 def _(c: Corpus) -> DataFrame:
     parts = F.explode(F.regexp_extract_all(T.qualified_name(F.col("id")), F.lit(T.CAMEL), F.lit(0)))
     return c.nodes.select("instance_id", "idx", parts.alias("part")).groupBy("instance_id", "idx", "part").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("str6_test_paths", f"SELECT file, regexp_matches(file, '{T.TEST_PATH}') AS is_test_path FROM (SELECT DISTINCT coalesce(file, '') AS file FROM graph_nodes)")
+@query("str6_test_paths", f"SELECT file, regexp_matches(file, '{Q.TEST_PATH}') AS is_test_path FROM (SELECT DISTINCT coalesce(file, '') AS file FROM graph_nodes)")
 def _(c: Corpus) -> DataFrame:
     return c.raw("graph_nodes").select(F.coalesce("file", F.lit("")).alias("file")).distinct().select("file", F.col("file").rlike(T.TEST_PATH).alias("is_test_path"))
 
@@ -133,14 +134,14 @@ def _(c: Corpus) -> DataFrame:
     )
 
 
-NAME_TOKENS_SQL = f"list_distinct({T.ident_tokens_sql(QN)})"
+NAME_TOKENS_SQL = f"list_distinct({Q.ident_tokens_sql(QN)})"
 
 
 @query(
     "arr1_name_issue_overlap",
     f"""SELECT instance_id, idx, length(list_intersect(a, b)) > 0 AS overlaps,
   round(coalesce(length(list_intersect(a, b)) / nullif(length(list_distinct(list_concat(a, b))), 0)::DOUBLE, 0), 6) AS jaccard
-FROM (SELECT n.instance_id, n.idx, {NAME_TOKENS_SQL} AS a, list_distinct({T.ident_tokens_sql("issue")}) AS b FROM nodes n JOIN inst USING (instance_id))""",
+FROM (SELECT n.instance_id, n.idx, {NAME_TOKENS_SQL} AS a, list_distinct({Q.ident_tokens_sql("issue")}) AS b FROM nodes n JOIN inst USING (instance_id))""",
 )
 def _(c: Corpus) -> DataFrame:
     a, b = F.col("a"), F.col("b")
@@ -173,14 +174,18 @@ def _(c: Corpus) -> DataFrame:
     )
 
 
-@query("lex2_bm25_scores", "SELECT instance_id, idx, lex, lex_rank FROM scores")
+def _shown(scores: DataFrame) -> DataFrame:
+    return scores.withColumn("lex", L.six_places(F.col("lex")))
+
+
+@query("lex2_bm25_scores", "SELECT instance_id, idx, floor(lex * 1e6 + 0.5) / 1e6 AS lex, lex_rank FROM scores")
 def _(c: Corpus) -> DataFrame:
-    return c.scores
+    return _shown(c.scores)
 
 
-@query("lex4_file_bm25", "SELECT instance_id, file, lex, lex_rank FROM scores_file")
+@query("lex4_file_bm25", "SELECT instance_id, file, floor(lex * 1e6 + 0.5) / 1e6 AS lex, lex_rank FROM scores_file")
 def _(c: Corpus) -> DataFrame:
-    return L.file_scores(c.nodes, c.instances)
+    return _shown(L.file_scores(c.nodes, c.instances))
 
 
 @query("lex6_seeds", "SELECT instance_id, k, idx, seed_rank FROM seeds")
@@ -197,14 +202,14 @@ def _(c: Corpus) -> DataFrame:
     return M.best_gold_rank(c)
 
 
-@query("lex9_tfidf_cosine", "SELECT instance_id, idx, lex, lex_rank FROM tfidf")
+@query("lex9_tfidf_cosine", "SELECT instance_id, idx, floor(lex * 1e6 + 0.5) / 1e6 AS lex, lex_rank FROM tfidf")
 def _(c: Corpus) -> DataFrame:
-    return M.tfidf(c)
+    return _shown(M.tfidf(c))
 
 
-@query("lex10_bm25_with_tests", "SELECT instance_id, idx, lex, lex_rank FROM scores_all")
+@query("lex10_bm25_with_tests", "SELECT instance_id, idx, floor(lex * 1e6 + 0.5) / 1e6 AS lex, lex_rank FROM scores_all")
 def _(c: Corpus) -> DataFrame:
-    return R.skill_tables(c)[1]
+    return _shown(R.skill_tables(c)[1])
 
 
 @query("lex11_pool_normalized", """
@@ -285,7 +290,13 @@ def _(c: Corpus) -> DataFrame:
 
 @query("gr9_bfs_cap_after", "SELECT instance_id, idx, hop FROM after")
 def _(c: Corpus) -> DataFrame:
-    """The cap is checked after each hop; 100 here, so that it bites."""
+    """The cap is checked after each hop."""
+    return bfs(seeds(c.scores, (10,)), c.adj, ["instance_id", "k"], 3, cap=20_000, cap_check="after").select("instance_id", "idx", "hop")
+
+
+@query("gr9_bfs_cap_after_100", "SELECT instance_id, idx, hop FROM after_100")
+def _(c: Corpus) -> DataFrame:
+    """The same with a cap that these graphs reach."""
     return bfs(seeds(c.scores, (10,)), c.adj, ["instance_id", "k"], 3, cap=100, cap_check="after").select("instance_id", "idx", "hop")
 
 
@@ -368,7 +379,7 @@ _POOL_PR = {"pool_pr": "SELECT p.*, coalesce(round(r.pr, 9), 0) AS pr FROM pool
 
 def _policy(i: int, policy: str) -> None:
     source = "pool_pr" if policy.startswith("pr_") or policy == "pagerank" else "pool"
-    sql = f"SELECT instance_id, idx, CAST(row_number() OVER (PARTITION BY instance_id ORDER BY {R.order_sql(policy)}) AS INTEGER) AS rank FROM {source}"
+    sql = f"SELECT instance_id, idx, CAST(row_number() OVER (PARTITION BY instance_id ORDER BY {Q.ORDERS[policy]}) AS INTEGER) AS rank FROM {source}"
 
     @query(f"rk{i}_{policy}", sql, _POOL_PR)
     def _(c: Corpus) -> DataFrame:
@@ -393,7 +404,7 @@ def _(c: Corpus) -> DataFrame:
 def localize_sql(where: str, source: str = "reach", top_n: int = 100) -> str:
     return f"""
 SELECT r.instance_id, r.rank, n.id AS node, n.file, n.kind, r.hop AS hops, CASE WHEN r.hop = 0 THEN 'seed' ELSE 'hop' || r.hop END AS via,
-  r.lex AS lexical, m.id AS reached_by
+  floor(r.lex * 1e6 + 0.5) / 1e6 AS lexical, m.id AS reached_by
 FROM (SELECT x.*, s.lex, CAST(row_number() OVER (PARTITION BY x.instance_id ORDER BY x.hop, s.lex DESC, x.idx) AS INTEGER) AS rank
   FROM {source} x JOIN scores s USING (instance_id, idx) WHERE {where}) r
 JOIN nodes n USING (instance_id, idx) JOIN scores b ON b.instance_id = r.instance_id AND b.lex_rank = r.seed_rank

@@ -5,6 +5,7 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from rankweave.functions import text as T
+from rankweave.plans import sql_text as Q
 
 
 def in_sql(texts, expression):
@@ -39,8 +40,8 @@ def test_ident_tokens(spark, text, want):
 @settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.text(alphabet="abAB_19. éthe", max_size=40), min_size=1, max_size=20))
 def test_tokens_in_both_engines(spark, texts):
-    assert run(spark, texts, T.ident_tokens) == in_sql(texts, T.ident_tokens_sql("text"))
-    assert run(spark, texts, T.words) == in_sql(texts, T.words_sql("text"))
+    assert run(spark, texts, T.ident_tokens) == in_sql(texts, Q.ident_tokens_sql("text"))
+    assert run(spark, texts, T.words) == in_sql(texts, Q.words_sql("text"))
 
 
 def test_words_emit_plain_words_twice(spark):
@@ -70,3 +71,10 @@ def test_word_punct_count(spark):
 def test_paths(spark):
     assert run(spark, ["a/b.py::C.d", "x"], T.qualified_name) == ["C.d", "x"]
     assert run(spark, ["a/b.py::C::d", "x"], T.file_of) == ["a/b.py", "x"]
+
+
+def test_stop_lists(spark):
+    assert len(T.STOP_CORE) == 102 and set(T.STOP_CORE) == set(Q.STOP.split())
+    assert len(T.STOP_SHORT) == 98 and set(T.STOP_SHORT) == set(Q.STOP_TOOL.split())
+    assert run(spark, ["get_issues openIssues issue he"], T.ident_tokens) == [["get_issues", "get", "issues", "openissues", "open", "issues"]]
+    assert "issues" in run(spark, ["issues"], T.ident_tokens)[0]
