@@ -7,11 +7,15 @@ tie. Tables are written once per session and data folder and shared by all queri
 from __future__ import annotations
 
 from functools import cached_property
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from rankweave.session import Workspace, table
 
+if TYPE_CHECKING:
+    from rankweave.operators.expand import Search
+
 KINDS = ("function", "class")
 STRUCTURAL = ("calls", "imports", "inherits")
 
@@ -84,6 +88,7 @@ class Corpus:
         self.spark, self.dir = spark, sf_dir
         self.ws = Workspace(spark, "corpus")
         self.held: dict[str, DataFrame] = {}
+        self.searches: dict[int, Search] = {}
 
     def raw(self, name: str) -> DataFrame:
         return table(self.spark, self.dir, name)
@@ -146,20 +151,24 @@ class Corpus:
 
         return self.keep("reach", lambda: bfs(seeds(self.scores, SEED_SIZES), self.adj, ["instance_id", "k"], 8))
 
+    def reached(self, k: int, hops: int) -> DataFrame:
+        """``instance_id, k, idx, seed_rank, hop`` from k seeds; searched only as deep as any query asked."""
+        from rankweave.operators.expand import Search, seeds
+
+        if k not in self.searches:
+            self.searches[k] = Search(seeds(self.scores, (k,)), self.adj, ["instance_id", "k"])
+        return self.searches[k].upto(hops)
+
     @property
     def capped(self) -> DataFrame:
-        """``instance_id, k, cap, idx, hop``: ten seeds, twelve hops, all caps of the sweep."""
-        from rankweave.operators.expand import CAPS, bfs, seeds
-
-        def make() -> DataFrame:
-            start = seeds(self.scores, (10,)).withColumn("cap", F.explode(F.array(*[F.lit(c) for c in CAPS])))
-            return bfs(start, self.adj, ["instance_id", "k", "cap"], 12, cap=F.col("cap"))
+        """``instance_id, k, cap, idx, seed_rank, hop``: ten seeds, twelve hops, all caps of the sweep."""
+        from rankweave.operators.expand import CAPS, cut_by_caps
 
-        return self.keep("capped", make)
+        return self.keep("capped", lambda: cut_by_caps(self.reached(10, 12), CAPS))
 
     def pool(self, k: int = 10, hops: int = 3) -> DataFrame:
         """Reached nodes with hop, reached flag and lexical score."""
-        reached = self.reach.where((F.col("k") == k) & (F.col("hop") <= hops)).drop("k")
+        reached = self.reached(k, hops).drop("k")
         return reached.join(self.scores, ["instance_id", "idx"]).withColumn("flag", (F.col("hop") > 0).cast("int"))
 
 

@@ -41,7 +41,7 @@ _COVERAGE = {
 
 def by_depth(c: Corpus) -> DataFrame:
     """One ranking per depth 0 to 4; one search serves them all, for layers don't change with depth."""
-    reached = c.reach.where("k = 10 AND hop <= 4").join(c.scores, ["instance_id", "idx"])
+    reached = c.reached(10, 4).join(c.scores, ["instance_id", "idx"])
     deep = reached.withColumn("h", F.explode(F.sequence("hop", F.lit(4))))
     return R.rank_by(deep, "hop", ["instance_id", "h"])
 
@@ -186,7 +186,7 @@ _RULES = {
     "pool_pr": "SELECT p.*, coalesce(round(r.pr, 9), 0) AS pr FROM pool p LEFT JOIN pr39 r USING (instance_id, idx)",
     "rule_best": " UNION ALL ".join(
         f"SELECT '{p}' AS rule, instance_id, min(rank) AS best FROM ({_ranked_sql(Q.ORDERS[p], 'pool_pr')}) SEMI JOIN targets USING (instance_id, idx) GROUP BY ALL"
-        for p in R.POLICIES
+        for p in Q.ORDERS
     ),
 }
 
@@ -198,10 +198,7 @@ FROM usable u CROSS JOIN (SELECT unnest([{", ".join(f"'{p}'" for p in Q.ORDERS)}
 LEFT JOIN rule_best x ON x.instance_id = u.instance_id AND x.rule = r.rule GROUP BY ALL""", _RULES)
 def _(c: Corpus) -> DataFrame:
     pool = R.with_pagerank(c)
-    best = None
-    for p in R.POLICIES:
-        part = E.best_rank(R.rank_by(pool, p), c.targets).withColumn("rule", F.lit(p))
-        best = part if best is None else best.unionByName(part)
+    best = R.best_ranks(pool, c.targets, list(R.POLICIES))
     hit = E.hits(best, c.usable, E.RULE_KS, ["rule"])
     split = F.when(S.md5_digit(F.col("instance_id")) % 2 == 0, "dev").otherwise("test")
     return hit.groupBy("rule", F.col("budget").alias("k"), split.alias("split")).agg(F.round(F.avg("hit"), 6).alias("acc"))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from rankweave.functions import text as T
 from rankweave.operators import lexical as L, measures as M, rank as R
 from rankweave.operators.corpus import Corpus
-from rankweave.operators.expand import bfs, pagerank, seed_consensus, seeds, shortest_paths
+from rankweave.operators.expand import bfs, seed_consensus, seeds, shortest_paths
 from rankweave.plans import sql_text as Q
 from rankweave.plans.prefix import QN
 from rankweave.plans.registry import query
@@ -257,7 +257,7 @@ def _(c: Corpus) -> DataFrame:
 
 @query("gr3_bfs_hops", "SELECT instance_id, idx, hop FROM reach WHERE k = 10 AND hop <= 3")
 def _(c: Corpus) -> DataFrame:
-    return c.reach.where("k = 10 AND hop <= 3").select("instance_id", "idx", "hop")
+    return c.reached(10, 3).select("instance_id", "idx", "hop")
 
 
 @query("gr4_reached_by", """
@@ -265,7 +265,7 @@ SELECT r.instance_id, r.idx, r.hop, s.idx AS reached_by FROM reach r
 JOIN scores s ON s.instance_id = r.instance_id AND s.lex_rank = r.seed_rank WHERE r.k = 10 AND r.hop <= 2""")
 def _(c: Corpus) -> DataFrame:
     by = c.scores.select("instance_id", F.col("lex_rank").alias("seed_rank"), F.col("idx").alias("reached_by"))
-    return c.reach.where("k = 10 AND hop <= 2").join(by, ["instance_id", "seed_rank"]).select("instance_id", "idx", "hop", "reached_by")
+    return c.reached(10, 2).join(by, ["instance_id", "seed_rank"]).select("instance_id", "idx", "hop", "reached_by")
 
 
 @query("gr5_reached_flag", "SELECT instance_id, idx, flag FROM pool")
@@ -280,7 +280,7 @@ def _(c: Corpus) -> DataFrame:
 
 @query("gr7_bfs_depth8", "SELECT instance_id, idx, hop FROM reach WHERE k = 10")
 def _(c: Corpus) -> DataFrame:
-    return c.reach.where("k = 10").select("instance_id", "idx", "hop")
+    return c.reached(10, 8).select("instance_id", "idx", "hop")
 
 
 @query("gr8_bfs_depth6", "SELECT instance_id, k, count(*) AS n FROM reach WHERE hop <= 6 GROUP BY ALL")
@@ -312,7 +312,7 @@ def _(c: Corpus) -> DataFrame:
 
 @query("gr14_pagerank", "SELECT instance_id, idx, round(pr, 9) AS pr FROM pr39")
 def _(c: Corpus) -> DataFrame:
-    return pagerank(seeds(c.scores, (10,)).select("instance_id", "idx"), c.adj).select("instance_id", "idx", F.round("pr", 9).alias("pr"))
+    return R.ten_seeds_pagerank(c).select("instance_id", "idx", F.round("pr", 9).alias("pr"))
 
 
 _PATH = {
@@ -333,7 +333,7 @@ _PATH = {
 @query("gr15_shortest_path", " UNION ALL ".join(f"SELECT instance_id, {i} AS step, idx FROM p{i}" for i in range(9)), _PATH)
 def _(c: Corpus) -> DataFrame:
     """From the nearest target of each instance (least index of those) back to a seed."""
-    reach = c.reach.where("k = 10").select("instance_id", "idx", "hop")
+    reach = c.reached(10, 8).select("instance_id", "idx", "hop")
     near = reach.join(c.targets, ["instance_id", "idx"], "left_semi").groupBy("instance_id").agg(F.min(F.struct("hop", "idx")).alias("s"))
     return shortest_paths(reach, c.adj, near.select("instance_id", F.col("s.idx").alias("idx")), 8)
 
