@@ -43,7 +43,13 @@ _IMPLIED = {  # an opening tag ends these open ones
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}),
     "option": ({"option"}, {"select"}),
 }
-_TAG = re.compile(r"<!--.*?-->|<(/?)([A-Za-z][A-Za-z0-9]*)((?:\s+[\w:-]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'<>]+))?)*)\s*(/?)>", re.S)
+# Attributes that stand without a value; other bare words are text, as in "a <b and c> d".
+_BARE = "allowfullscreen|async|autofocus|checked|compact|controls|default|defer|disabled|hidden|ismap|loop|multiple|muted|novalidate|nowrap|noshade|open|readonly|required|reversed|selected"
+_TAG = re.compile(
+    rf"<!--.*?-->|<(/?)([A-Za-z][A-Za-z0-9]*)((?:\s+(?:[\w:-]+\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'<>]+)|(?i:{_BARE})(?![\w:-])))*)\s*(/?)>", re.S
+)
+# Tags that mean nothing unless something ends them.
+_PAIRED = frozenset("a b i q s u".split())
 _ENTITY = re.compile(r"&(?:lt|gt|amp|quot|apos|nbsp|le|ge|ne|mdash|ndash|hellip|copy|times|middot|#\d{2,6}|#x[0-9a-fA-F]{2,5});")
 
 # LaTeX environments whose content is code, or a formula.
@@ -302,9 +308,10 @@ def _tree(text: str) -> Node:
             continue
         if tag not in TAGS:
             continue
-        # List<b> is a type, unless something ends it
-        if re.match(r"\w", text[m.start() - 1 : m.start()]) and len(tag) == 1 and tag not in closing and not m[1]:
-            continue
+        # List<b> is a type and x <b> y a comparison, unless something ends it
+        if tag not in closing and not m[1]:
+            if tag in _PAIRED and not m[3] or len(tag) == 1 and re.match(r"\w", text[m.start() - 1 : m.start()]):
+                continue
         words(text[pos : m.start()])
         pos = m.end()
         if m[1]:
@@ -466,6 +473,8 @@ _MARKS: tuple[tuple[re.Pattern | _Link, str, str], ...] = (
     (re.compile(r"(?<![\w'=(\[])'''(?![\s'])([^'\n]+?)(?<!\s)'''(?![\w'])"), WIKI, r"\1"),
     (re.compile(r"(?<![\w'=(\[])''(?![\s'])([^'\n]+?)(?<!\s)''(?![\w'])"), WIKI, r"\1"),
     (re.compile(r"(?<![\w*/\\])(\*{1,3})(?![\s*])([^*\n]+?)(?<![\s*])\1(?![\w*])"), MARKDOWN, r"\2"),
+    # with underscores two words at least: __init__ and _private_ are identifiers
+    (re.compile(r"(?<![\w*/\\.])(_{1,2})(?![\s_])((?:(?:[^\W_]|[-',])+[^\S\n]+)+(?:[^\W_]|[-',])*[^\W_])\1(?![\w(])"), MARKDOWN, r"\2"),
     (re.compile(r"(?<![\w~])~~(?![\s~])([^~\n]+?)(?<![\s~])~~(?![\w~])"), MARKDOWN, r"\1"),
     (re.compile(r"(?<!\w)!(\S+\.(?:png|jpe?g|gif|svg))(?:\|[^!\n]*)?!(?!\w)"), WIKI, r"\1"),
     (re.compile(r"\\href\{[^{}]*\}\{([^{}]*)\}"), LATEX, r"\1"),
@@ -501,6 +510,8 @@ def _inline(node: Node) -> None:
 _KEEP = frozenset("heading item quote table row cell code icode plaincode formula h1 h2 h3 h4 h5 h6 li pre blockquote td th dd dt summary".split())
 
 
+# Entries of an HTML list.
+_ENTRY = frozenset("li dd dt".split())
 # Tags that stand inside a line of text.
 _RUNNING = frozenset("a abbr address b br cite code comment del dfn em font i img input ins kbd mark q s samp small span stray strike strong sub sup tt u var".split())
 
@@ -532,9 +543,10 @@ def select(body: Node) -> float:
         if c == 0:
             node.density = 0.0
         else:
-            base = math.log(c / max(1, c - lc) * lc + (body_lc / max(1, body_c)) * c + math.e)
-            ratio = max(1.0, (c / max(1, lc)) * (max(1, t) / max(1, lt)))
-            node.density = c / max(1, t) * math.log(ratio) / max(1e-9, math.log(max(base, 1.0 + 1e-6)) + 1.0)
+            # the published formula; counts of 0 stand as 1
+            t, link, links, other = max(1, t), max(1, lc), max(1, lt), max(1, c - lc)
+            base = math.log(c / other * link + body_lc / max(1, body_c) * c + math.e)
+            node.density = c / t * math.log(c / link * t / links, base)
         for x in node.children:
             walk(x)
 
@@ -558,7 +570,9 @@ def select(body: Node) -> float:
         return 2 * lc > c and (lt > 1 or around)
 
     def keep(node: Node, safe: bool, bar: bool) -> None:
-        safe = safe or node.tag in _KEEP or bool(_HELD.search(node.text))
+        # an entry of a list of links is no more than its link
+        entry = node.tag in _ENTRY and bar and mostly_links([node], True)
+        safe = safe or (node.tag in _KEEP and not entry) or bool(_HELD.search(node.text))
         node.kept = safe or not bar or node.density >= threshold or node.tag in ("body", "gap", "lines")
         if plain.get(id(node), True):
             for x in node.children:

@@ -69,6 +69,41 @@ def test_links_in_text_stay():
     assert got.count("See the manual for details of it.") == 2 and got.count("A sentence") == 70
 
 
+def test_words_between_angle_brackets_stay():
+    for text in ("if a <b and c> d then", "x <i> y", "p <a or q> r", "List<b> of List<i> here"):
+        assert M.clean(text).text == text and M.clean(text).languages == []
+    assert M.clean("x <b>y</b> <input disabled> <a href=z>w</a>").text.split() == ["x", "y", "w"]
+
+
+@pytest.mark.parametrize("text", ["Look at __the ModelLayer__ as well.", "It is _really important_ here."])
+def test_underscores_mark_two_words_or_more(text):
+    assert M.clean(text).languages == ["markdown"] and "_" not in M.clean(text).text
+
+
+def test_underscores_of_identifiers_stay():
+    text = "It calls __init__, _private_ and a_b_c, then _load and __call__ of _x, or _y (see id_, type_)."
+    assert M.clean(text).text == text and M.clean(text).languages == []
+
+
+def test_lists_of_links_go_and_lists_of_text_stay():
+    bar = "<ul>" + "".join(f"<li><a href=/{i}>Menu {i}</a></li>" for i in range(9)) + "</ul>"
+    text = "<ul>" + "".join(f"<li>Entry {i} says more than its <a href=/{i}>link</a> does.</li>" for i in range(3)) + "</ul>"
+    body = "".join(f"<p>{'This sentence is the content of the page. ' * 6}</p>" for _ in range(5))
+    got = M.clean(f"<html><body>{bar}<div>{body}{text}</div></body></html>").text
+    assert "Menu" not in got and got.count("says more than its link does.") == 3 and got.count("content of the page") == 30
+    assert M.clean(bar).text.count("Menu") == 9
+
+
+def test_density_is_the_published_one():
+    import math
+
+    body = M._tree("<div>" + "x" * 90 + "<a>" + "y" * 10 + "</a></div>")
+    M.select(body)
+    div = body.children[0]
+    base = math.log(100 / 90 * 10 + 10 / 100 * 100 + math.e)
+    assert div.density == pytest.approx(100 / 1 * math.log(100 / 10 * 1 / 1, base))
+
+
 LONG = "many words stand here and " * 1200
 
 
