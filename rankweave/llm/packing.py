@@ -13,6 +13,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from rankweave.session import Workspace
+
 #: Items of one shard on average; bounds what one task holds.
 SHARD_ITEMS = 20_000
 
@@ -84,6 +86,8 @@ def pack(df: DataFrame, item: str, size: str, capacity: int, shard_items: int =
     whole = df.select(F.col(f"`{item}`").alias("_i"), F.col(f"`{size}`").cast("bigint").alias("_n")).where(
         F.col("_i").isNotNull() & (F.col("_n") > 0)
     )
+    # the sizes are read three times, whatever they cost to make
+    whole = Workspace(df.sparkSession, "pack").keep(whole, "sizes")
     pieces = whole.select(
         "_i", "_n", F.explode(F.sequence(F.lit(0), F.ceil(F.col("_n") / capacity).cast("int") - 1)).alias("_p")
     ).select("_i", "_p", F.least(F.lit(capacity), F.col("_n") - F.col("_p") * capacity).cast("int").alias("_s"))

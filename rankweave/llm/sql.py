@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from rankweave.plans.skew import normal_name_sql
 from rankweave.plans.sql_text import ident_tokens_sql
 
 _QUALIFIED = "list_extract(string_split(id, '::'), -1)"
@@ -27,7 +28,22 @@ _SOURCES = f"""
 w AS (SELECT lower(trim(source)) AS source, sum({_TOKENS}) AS own FROM documents GROUP BY 1),
 m AS (SELECT t.source, t.weight, t.max_repeats, coalesce(w.own, 0) AS own FROM mix_targets t LEFT JOIN w USING (source))"""
 
+# the part of an instance id before its last hyphen and number
+_NAMED = r"regexp_replace(regexp_replace(instance_id, '^\s+|\s+$', '', 'g'), '-[0-9]+$', '')"
+_ENDS = r"regexp_matches(regexp_replace(instance_id, '^\s+|\s+$', '', 'g'), '-[0-9]+$')"
+
 ORACLES: dict[str, str] = {
+    "p3_found": """
+WITH u AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM node_vectors
+  WHERE length(embedding) = 64 AND length(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+    AND length(list_filter(embedding, lambda x: x <> 0)) > 0)
+SELECT a.vec_id AS vec_id_a, b.vec_id AS vec_id_b FROM u a JOIN u b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.92""",
+    "p4_found": f"""
+WITH RECURSIVE n AS (
+  SELECT DISTINCT repo, named FROM (SELECT {normal_name_sql("repo")} AS repo, CASE WHEN {_ENDS} THEN {normal_name_sql(_NAMED)} END AS named FROM repo_graphs)),
+e AS (SELECT repo AS a, named AS b FROM n WHERE repo <> named UNION SELECT named, repo FROM n WHERE repo <> named),
+w AS (SELECT a, b FROM e UNION SELECT w.a, e.b FROM w JOIN e ON w.b = e.a)
+SELECT a AS repo_a, b AS repo_b FROM w WHERE a < b""",
     "p5_found": f"WITH {_TERMS} SELECT instance_id, term FROM f JOIN d USING (term) WHERE tf >= 5 AND df <= 3",
     "p5_scores": f"""
 WITH {_TERMS},

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
@@ -55,26 +56,43 @@ def _footers(batches: Iterator[pd.DataFrame], group: str, score: str) -> Iterato
 
 
 def _scan(pdf: pd.DataFrame, columns: list[str], n: int) -> pd.DataFrame:
-    """Best n of each group in one file; pdf: its row groups that are worth a look."""
+    """Best n of each group in one file; pdf: its row groups that are worth a look.
+
+    Row groups are taken in descending greatest score. One that lies strictly below the n-th score
+    of every group in it is skipped, one with several groups after a look at its group column.
+    """
+    import pyarrow.compute as pc
     import pyarrow.fs as pafs
     import pyarrow.parquet as pq
 
     group, score, ties = columns[0], columns[1], columns[2:]
     fs, path = pafs.FileSystem.from_uri(pdf["uri"].iloc[0])
-    best = pd.DataFrame(columns=columns)
-    nth: dict[str, float] = {}
+    parts = [pd.DataFrame(columns=columns)]
+    first: dict[str, np.ndarray] = {}  # the n greatest scores seen of each group that goes on in another row group
+
+    def done(g: str, top: float) -> bool:
+        return g in first and len(first[g]) == n and top < first[g][-1]
+
     with fs.open_input_file(path) as f:
         file = pq.ParquetFile(f)
         for row in pdf.sort_values(["top", "rg"], ascending=[False, True]).itertuples():
-            if row.one is not None and row.top < nth.get(row.one, float("-inf")):
-                continue
+            if row.one is not None:
+                if done(row.one, row.top):
+                    continue
+            elif first:  # which groups it holds says the group column alone
+                if all(done(g, row.top) for g in pc.unique(file.read_row_group(row.rg, columns=[group]).column(0)).to_pylist()):
+                    continue
             part = file.read_row_group(row.rg, columns=columns).to_pandas()
-            both = pd.concat([best, part], ignore_index=True) if len(best) else part
-            both = both.sort_values([group, score, *ties], ascending=[True, False] + [True] * len(ties), na_position="last")
-            best = both.groupby(group, sort=False).head(n)
-            last = best.groupby(group, sort=False)[score].agg(["size", "min"])
-            nth = last.loc[last["size"] >= n, "min"].to_dict()
-    return best[columns]
+            part = part.sort_values([group, score, *ties], ascending=[True, False] + [True] * len(ties), na_position="last")
+            part = part.groupby(group, sort=False).head(n)
+            parts.append(part)
+            # the file is in the order of groups, so only the outer ones lie in other row groups too
+            for g in {part[group].iloc[0], part[group].iloc[-1]} if len(part) else ():
+                both = np.concatenate([first.get(g, np.zeros(0)), part.loc[part[group] == g, score].to_numpy(float)])
+                first[g] = -np.sort(-both)[:n]
+    best = pd.concat([x for x in parts if len(x)] or parts[:1], ignore_index=True)
+    best = best.sort_values([group, score, *ties], ascending=[True, False] + [True] * len(ties), na_position="last")
+    return best.groupby(group, sort=False).head(n)[columns]
 
 
 def top_n(items: DataFrame, group: str, score: str, ties: Sequence[str], n: int, unique: bool = False) -> DataFrame:
@@ -93,7 +111,8 @@ def top_n(items: DataFrame, group: str, score: str, ties: Sequence[str], n: int,
         (F.col(f"`{score}`").cast("double") + F.lit(0.0)).alias("_s"),
         *[F.col(f"`{t}`").alias(a) for t, a in zip(ties, names[2:], strict=True)],
     ).where(F.col("_g").isNotNull() & F.col("_s").isNotNull() & ~F.isnan("_s"))
-    slim = slim if unique else slim.distinct()
+    # written first: the bounds of the ranges are taken from a sample, which would compute it twice
+    slim = ws.keep(slim if unique else slim.distinct(), "items")
     kinds = {f.name: f.dataType for f in slim.schema.fields}
     clustered = slim.repartitionByRange(F.col("_g"), F.col("_s").desc()).sortWithinPartitions(
         F.col("_g"), F.col("_s").desc(), *[F.col(t).asc_nulls_last() for t in names[2:]]

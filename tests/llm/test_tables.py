@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -150,7 +151,6 @@ def test_top_like_sorting(spark, monkeypatch, bytes_):
 
 
 def test_skipping_reads_fewer_row_groups(tmp_path, monkeypatch):
-    import pandas as pd
     import pyarrow as pa
     import pyarrow.parquet as pq
 
@@ -167,6 +167,27 @@ def test_skipping_reads_fewer_row_groups(tmp_path, monkeypatch):
     assert read == [0] and list(best["_s"]) == [5000.0, 4999.0, 4998.0, 4997.0, 4996.0]
 
 
+def test_row_group_of_several_full_groups_is_skipped(tmp_path, monkeypatch):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rows = [("a", 10.0 - i, i) for i in range(8)] + [("b", 10.0 - i, i) for i in range(8)]
+    order = [*rows[:4], *rows[8:12], *rows[4:8], *rows[12:]]  # the last row group holds the rest of both
+    path = str(tmp_path / "x.parquet")
+    with pq.ParquetWriter(path, pa.schema([("_g", pa.string()), ("_s", pa.float64()), ("_t0", pa.int64())])) as w:
+        for part in (order[:4], order[4:8], order[8:]):
+            w.write_table(pa.table({"_g": [r[0] for r in part], "_s": [r[1] for r in part], "_t0": [r[2] for r in part]}))
+    read = []
+    real = pq.ParquetFile.read_row_group
+    monkeypatch.setattr(pq.ParquetFile, "read_row_group", lambda self, i, columns=None: read.append((i, tuple(columns))) or real(self, i, columns=columns))
+    foot = pd.DataFrame({"uri": f"file://{path}", "rg": [0, 1, 2], "one": ["a", "b", None], "top": [10.0, 10.0, 6.0]})
+    best = TI._scan(foot, ["_g", "_s", "_t0"], 3)
+    assert read[-1] == (2, ("_g",)) and len(read) == 3
+    assert best.groupby("_g")["_t0"].apply(list).to_dict() == {"a": [0, 1, 2], "b": [0, 1, 2]}
+    # five of each: the third row group is needed
+    assert TI._scan(foot, ["_g", "_s", "_t0"], 5).groupby("_g")["_t0"].apply(list).to_dict() == {g: [0, 1, 2, 3, 4] for g in "ab"}
+
+
 def test_top_of_nothing(spark):
     df = spark.createDataFrame([], "g string, s double, t string")
     assert TI.top_n(df, "g", "s", ["t"], 5).count() == 0
