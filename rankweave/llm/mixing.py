@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from typing import Literal
 
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -97,6 +98,36 @@ def plan(sources: Sequence[tuple[str, float, int, int]], total: float) -> list[B
     return [Budget(s, w, t, m, budget[s], s in limited, exponent) for s, w, m, t in sources]
 
 
+def tempered_weights(sources: Sequence[tuple[str, float, int, int]], total: float, entropy: float | None = None) -> list[tuple[str, float]]:
+    """Weights from the sources' own token shares, raised to one exponent between 0 and 1.
+
+    With ``entropy`` (nats) the exponent that reaches it, or the nearest end. Without it the least
+    exponent, which favours small sources most, at which none has to be repeated more often than it
+    may; where even the shares themselves ask for more, they stay as they are. Given weights play no
+    part. Sources without tokens have weight 0.
+    """
+    own = [float(t) for *_, t in sources]
+    if not sum(own):
+        return [(s, 0.0) for s, *_ in sources]
+    shares = [x / sum(own) for x in own]
+
+    def fits(exponent: float) -> bool:
+        return all(q * total <= m * t + 1e-6 for q, (*_, m, t) in zip(tempered(shares, exponent), sources, strict=True) if t)
+
+    if entropy is not None:
+        exponent = exponent_for_entropy(shares, entropy)
+    else:
+        low, high = 0.0, 1.0
+        if fits(low) or not fits(high):
+            high = low if fits(low) else high
+        else:
+            for _ in range(60):
+                mid = (low + high) / 2
+                low, high = (low, mid) if fits(mid) else (mid, high)
+        exponent = high
+    return [(s, q) for (s, *_), q in zip(sources, tempered(shares, exponent), strict=True)]
+
+
 def token_sums(docs: DataFrame, source: str, tokens: str, targets: DataFrame) -> list[tuple[str, float, int, int]]:
     """``(source, weight, max_repeats, tokens)`` of each target; one row per source is collected."""
     sums = docs.groupBy(F.col(f"`{source}`").alias("source")).agg(F.sum(f"`{tokens}`").alias("t"))
@@ -106,13 +137,18 @@ def token_sums(docs: DataFrame, source: str, tokens: str, targets: DataFrame) ->
     return sorted((r[0], float(r[1]), int(r[2]), int(r[3])) for r in rows.collect())
 
 
-def mix(docs: DataFrame, doc: str, source: str, tokens: str, targets: DataFrame, total: int | None = None, seed: int = 0):
+def mix(
+    docs: DataFrame, doc: str, source: str, tokens: str, targets: DataFrame, total: int | None = None, seed: int = 0,
+    temper: float | Literal["limits"] | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """The mixture and its report: two DataFrames.
 
     The mixture has ``source, doc, repeats, tokens``: a document is used ``repeats`` times. The
     report has ``source, weight, tokens, max_repeats, budget, used, share, limited`` for each
     target. Documents of a source that is not listed, of null source or without tokens take no
-    part. ``total`` is the size aimed at, by default the tokens of all listed documents.
+    part. ``total`` is the size aimed at, by default the tokens of all listed documents. With
+    ``temper`` the weights come from the sources' token shares instead, see ``tempered_weights``:
+    a number is the entropy aimed at, ``limits`` evens sources out as far as repetition allows.
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "mix")
@@ -124,7 +160,11 @@ def mix(docs: DataFrame, doc: str, source: str, tokens: str, targets: DataFrame,
     )
     slim = ws.keep(slim.join(F.broadcast(listed.select("source")), "source", "left_semi"), "docs")
     sources = token_sums(slim, "source", "_n", listed)
-    budgets = plan(sources, total if total is not None else sum(t for *_, t in sources))
+    total = total if total is not None else sum(t for *_, t in sources)
+    if temper is not None:
+        weights = tempered_weights(sources, total, None if temper == "limits" else temper)
+        sources = [(s, w, m, t) for (s, w), (*_, m, t) in zip(weights, sources, strict=True)]
+    budgets = plan(sources, total)
     rows = []
     for b in budgets:
         full = min(b.max_repeats, int(b.budget // b.tokens)) if b.tokens else 0
@@ -136,8 +176,15 @@ def mix(docs: DataFrame, doc: str, source: str, tokens: str, targets: DataFrame,
         "_block", F.pmod(F.xxhash64(F.lit(seed), "_d"), F.col("_blocks"))
     )
     block = placed.groupBy("source", "_block").agg(F.sum("_n").alias("_b"))
-    upto = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed), "_block"), "_block")
-    block = block.withColumn("_before", F.sum("_b").over(upto) - F.col("_b"))
+    # what stands before a block, in two levels: ranges of its hash, then the blocks of a range
+    hash_ = F.xxhash64(F.lit(seed), "_block")
+    block = block.withColumn("_h", hash_).withColumn("_range", F.shiftright("_h", 52))
+    ranges = block.groupBy("source", "_range").agg(F.sum("_b").alias("_rb"))  # 4,096 a source at most
+    above = F.sum("_rb").over(Window.partitionBy("source").orderBy("_range")) - F.col("_rb")
+    ranges = ranges.select("source", "_range", above.alias("_above"))
+    upto = Window.partitionBy("source", "_range").orderBy("_h", "_block")
+    block = block.withColumn("_within", F.sum("_b").over(upto) - F.col("_b")).join(ranges, ["source", "_range"])
+    block = block.select("source", "_block", "_b", (F.col("_above") + F.col("_within")).alias("_before"))
     placed = placed.join(block, ["source", "_block"])
     whole = F.col("_before") + F.col("_b") <= F.col("_rest")
     cut = ~whole & (F.col("_before") < F.col("_rest"))

@@ -21,6 +21,7 @@ DIM = 64
 NEIGHBOURS = 10
 CONTAINER = 512
 TOP = 5
+ENTROPY = 2.0
 
 
 # ---- problem 2
@@ -149,12 +150,12 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- problem 8
 
 
-def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _mixture(spark: SparkSession, sf_dir: str, **how) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", source_key(F.col("source")).alias("source"), word_punct_count(F.col("text")).alias("tokens")
     )
     targets = table(spark, sf_dir, "mix_targets").withColumn("source", source_key(F.col("source")))
-    return mix(docs, "doc_id", "source", "tokens", targets)
+    return mix(docs, "doc_id", "source", "tokens", targets, **how)
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,6 +171,17 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.withColumn("share", F.round("share", 6)).withColumn("budget", F.round("budget", 3))
 
 
+def p8_tempered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares where the sources' own sizes are tempered: evened out as far as repetition allows, or to an entropy of 2 nats."""
+    reports = [
+        _mixture(spark, sf_dir, temper=t)[1].select(
+            F.lit(str(t)).alias("aim"), "source", *[F.round(c, 6).alias(c) for c in ("weight", "share")], "used"
+        )
+        for t in ("limits", ENTROPY)
+    ]
+    return reports[0].unionByName(reports[1])
+
+
 # ---- problem 9
 
 
@@ -201,6 +213,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         p2_found, p2_clean, p3_found, p3_neighbours, p4_found, p4_split, p4_shares, p5_found, p5_scores, p6_found, p6_top_nodes,
-        p7_found, p7_containers, p7_fill, p8_found, p8_mixture, p8_shares, p9_found, p9_kept, p9_messages,
+        p7_found, p7_containers, p7_fill, p8_found, p8_mixture, p8_shares, p8_tempered, p9_found, p9_kept, p9_messages,
     )
 }

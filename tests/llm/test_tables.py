@@ -289,3 +289,22 @@ def test_mix(spark, monkeypatch):
     assert {(r["doc"], r["repeats"]) for r in M.mix(df.repartition(7), "doc", "source", "n", targets)[0].collect()} == {(r["doc"], r["repeats"]) for r in got}
     empty = M.mix(df.limit(0), "doc", "source", "n", targets)
     assert empty[0].count() == 0 and empty[1].count() == 4
+
+
+def test_source_shares_are_tempered():
+    sources = [("big", 0.1, 1, 9000), ("mid", 0.1, 3, 900), ("small", 0.8, 4, 100), ("none", 0.0, 5, 0)]
+    even = dict(M.tempered_weights(sources, 10_000))
+    # the smallest source is repeated as often as it may, and would be more often at a lower exponent
+    assert even["small"] * 10_000 == pytest.approx(400, rel=1e-6) and even["none"] == 0 and sum(even.values()) == pytest.approx(1)
+    assert even["mid"] * 10_000 <= 2700 and even["big"] * 10_000 <= 9000
+    for aim in (0.3, 0.7, 1.0):
+        assert M.entropy([w for _, w in M.tempered_weights(sources, 10_000, aim)]) == pytest.approx(aim, abs=1e-6)
+    assert M.tempered_weights([("a", 1.0, 1, 0)], 0) == [("a", 0.0)]
+
+
+def test_mixture_of_tempered_shares(spark):
+    docs = [(i, "big" if i % 10 else "small", 10) for i in range(2000)]
+    df = spark.createDataFrame(docs, "d int, s string, n int")
+    targets = spark.createDataFrame([("big", 0.5, 3), ("small", 0.5, 3), ("none", 0.0, 3)], "source string, weight double, max_repeats int")
+    got = {r["source"]: r["used"] for r in M.mix(df, "d", "s", "n", targets, temper="limits")[1].collect()}
+    assert got == {"big": 14_000, "small": 6_000, "none": 0}
