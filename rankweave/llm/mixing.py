@@ -169,7 +169,7 @@ def mix(
     for b in budgets:
         full = min(b.max_repeats, int(b.budget // b.tokens)) if b.tokens else 0
         rest = b.budget - full * b.tokens if full < b.max_repeats else 0.0
-        rows.append((b.source, full, int(rest), max(1, round(b.tokens / BLOCK_TOKENS))))
+        rows.append((b.source, full, int(rest + 1e-3), max(1, round(b.tokens / BLOCK_TOKENS))))
     passes = F.broadcast(spark.createDataFrame(rows, "source string, _full int, _rest bigint, _blocks bigint"))
     # The permutation of the partial pass: blocks by hash, inside a block by another hash.
     placed = slim.join(passes, "source").withColumn(
