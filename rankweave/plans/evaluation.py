@@ -67,11 +67,19 @@ def _(c: Corpus) -> DataFrame:
 SELECT h, median(n) AS median_pool, median(r) AS median_radius FROM (
   SELECT c.h, c.instance_id, count(*) AS n, max(hop) AS r FROM cov_ranked c SEMI JOIN usable USING (instance_id) GROUP BY ALL) GROUP BY h""", _COVERAGE)
 def _(c: Corpus) -> DataFrame:
+    return pool_sizes(c)
+
+
+def pool_sizes(c: Corpus) -> DataFrame:
+    """``h, median_pool, median_radius`` of the usable instances."""
     per = by_depth(c).join(c.usable, "instance_id", "left_semi").groupBy("h", "instance_id").agg(F.count(F.lit(1)).alias("n"), F.max("hop").alias("r"))
     return per.groupBy("h").agg(F.median("n").alias("median_pool"), F.median("r").alias("median_radius"))
 
 
 _AG28 = {
+    "c28": "SELECT h, round(avg(hit), 6) AS cov200 FROM cov_hit WHERE budget = 200 GROUP BY h",
+    "p28": """SELECT h, median(n) AS median_pool, median(r) AS median_radius FROM (
+  SELECT c.h, c.instance_id, count(*) AS n, max(hop) AS r FROM cov_ranked c SEMI JOIN usable USING (instance_id) GROUP BY ALL) GROUP BY h""",
     "d50": "SELECT h, instance_id, hit FROM cov_hit WHERE budget = 50",
     "d28": """SELECT x.h, count(*) AS n, CAST(sum(x.hit) AS BIGINT) AS k, CAST(sum((x.hit > z.hit)::INTEGER) AS BIGINT) AS gained,
   CAST(sum((x.hit < z.hit)::INTEGER) AS BIGINT) AS lost FROM d50 x JOIN d50 z ON z.instance_id = x.instance_id AND z.h = 0 GROUP BY x.h""",
@@ -81,7 +89,7 @@ _W = S.wilson_sql("k", "n")
 
 @query("ag28_depth_table", f"""
 SELECT h, n, k, round({_W[0]}, 6) AS p, round({_W[1]}, 6) AS lo, round({_W[2]}, 6) AS hi, gained, lost,
-  round({S.mcnemar_sql("gained", "lost")}, 9) AS pvalue FROM d28""", _COVERAGE | _AG28)
+  round({S.mcnemar_sql("gained", "lost")}, 9) AS pvalue, cov200, median_pool, median_radius FROM d28 JOIN c28 USING (h) JOIN p28 USING (h)""", _COVERAGE | _AG28)
 def _(c: Corpus) -> DataFrame:
     x = depth_hits(c).where("budget = 50").select("h", "instance_id", "hit")
     z = x.where("h = 0").select("instance_id", F.col("hit").alias("hit0"))
@@ -90,7 +98,9 @@ def _(c: Corpus) -> DataFrame:
         F.count_if(F.col("hit") < F.col("hit0")).alias("lost"),
     )
     p, lo, hi = S.wilson(F.col("k"), F.col("n"))
-    return per.select("h", "n", "k", F.round(p, 6).alias("p"), F.round(lo, 6).alias("lo"), F.round(hi, 6).alias("hi"), "gained", "lost",
+    wide = depth_hits(c).where("budget = 200").groupBy("h").agg(F.round(F.avg("hit"), 6).alias("cov200"))
+    per = per.join(wide, "h").join(pool_sizes(c), "h")
+    return per.select("h", "n", "k", "cov200", "median_pool", "median_radius", F.round(p, 6).alias("p"), F.round(lo, 6).alias("lo"), F.round(hi, 6).alias("hi"), "gained", "lost",
                       F.round(S.mcnemar_p(F.col("gained"), F.col("lost")), 9).alias("pvalue"))
 
 
@@ -209,21 +219,24 @@ _POLICY = {
     "bm_best": "SELECT instance_id, min(rank) AS best FROM (" + _ranked_sql(HOP, "pool") + ") SEMI JOIN targets USING (instance_id, idx) GROUP BY ALL",
     "pol": f"""SELECT u.instance_id, u.repo, b.b AS budget, coalesce((l.best <= b.b)::INTEGER, 0) AS lex, coalesce((m.best <= b.b)::INTEGER, 0) AS mix
   FROM usable u CROSS JOIN {_grid(Q.SWEEP_BUDGETS, "b")} b LEFT JOIN lo_best l USING (instance_id) LEFT JOIN bm_best m USING (instance_id)""",
+    "hf_best7": "SELECT instance_id, min(rank) AS best FROM (" + _ranked_sql("hop ASC, lex DESC, idx ASC", "pool") + ") SEMI JOIN targets USING (instance_id, idx) GROUP BY ALL",
 }
 
 
-def policy_hits(c: Corpus) -> DataFrame:
-    """``instance_id, repo, budget, lex, mix``: hits of the lexical and the hop order in one pool."""
-    a = E.hits(E.best_rank(R.rank_by(c.pool(), "lexical_only"), c.targets), c.usable, E.SWEEP_BUDGETS).withColumnRenamed("hit", "lex")
-    b = E.hits(E.best_rank(R.rank_by(c.pool(), "budget_mix"), c.targets), c.usable, E.SWEEP_BUDGETS).select("instance_id", "budget", F.col("hit").alias("mix"))
-    return a.join(b, ["instance_id", "budget"])
+def policy_hits(c: Corpus, **more: str) -> DataFrame:
+    """``instance_id, repo, budget, lex, mix``: hits of the lexical and the hop order in one pool, and of ``more``."""
+    rules = {"lex": "lexical_only", "mix": "budget_mix", **more}
+    best = R.best_ranks(c.pool(), c.targets, list(rules.values()))
+    flags = [F.coalesce(F.max(F.when(F.col("rule") == p, F.col("hit"))), F.lit(0)).alias(n) for n, p in rules.items()]
+    return E.hits(best, c.usable, E.SWEEP_BUDGETS, ["rule"]).groupBy("instance_id", "repo", "budget").agg(*flags)
 
 
 @query("ag7_per_repository", """
-SELECT repo, count(*) AS n, round(avg(lex), 6) AS lex20, round(avg(mix), 6) AS mix20, round(avg(mix - lex), 6) AS gain FROM pol WHERE budget = 20 GROUP BY repo""", _POLICY)
+SELECT repo, count(*) AS n, round(avg(lex), 6) AS lex20, round(avg(mix), 6) AS mix20, round(avg(coalesce((h.best <= 20)::INTEGER, 0)), 6) AS hop20,
+  round(avg(mix - lex), 6) AS gain FROM pol LEFT JOIN hf_best7 h USING (instance_id) WHERE budget = 20 GROUP BY repo""", _POLICY)
 def _(c: Corpus) -> DataFrame:
-    rows = policy_hits(c).where("budget = 20")
-    return rows.groupBy("repo").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("lex"), 6).alias("lex20"), F.round(F.avg("mix"), 6).alias("mix20"),
+    rows = policy_hits(c, hop="hop_first").where("budget = 20")
+    return rows.groupBy("repo").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("lex"), 6).alias("lex20"), F.round(F.avg("mix"), 6).alias("mix20"), F.round(F.avg("hop"), 6).alias("hop20"),
                                     F.round(F.avg(F.col("mix") - F.col("lex")), 6).alias("gain"))
 
 

@@ -73,3 +73,15 @@ def test_predictions_and_lines(spark, data, tmp_path):
     assert [x["rank"] for x in back[0]["ranked"]] == sorted(x["rank"] for x in back[0]["ranked"])
     line = sinks.report_lines(localize_with_tests(c)).where("rank = 1").first()["line"]
     assert line.startswith("1 ") and ":" in line
+
+
+def test_result_document_and_report(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1, 0.5), ("b", None, 0.25)], "instance_id string, n int, cov double")
+    path = f"file://{tmp_path}/result.json"
+    sinks.write_result({"n": 2, "mean": 0.375}, rows, path)
+    assert json.loads((tmp_path / "result.json").read_text())["rows"][1] == {"instance_id": "b", "n": None, "cov": 0.25}
+    summary, back = sinks.read_result(spark, path)
+    assert summary.collect()[0].asDict() == {"n": 2, "mean": 0.375}
+    assert sorted((r["instance_id"], r["n"], r["cov"]) for r in back.collect()) == [("a", 1, 0.5), ("b", None, 0.25)]
+    lines = [r["line"] for r in sinks.report_table(rows, {"instance_id": 4, "n": 3, "cov": 8}, "instance_id").collect()]
+    assert lines == ["a     1   0.500", "b     -   0.250"]
