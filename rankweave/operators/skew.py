@@ -13,16 +13,17 @@ more than others:
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rankweave.session import Workspace
 
 #: Bins of one histogram round. A rank among values v distinct values is resolved after about
 #: log(v) / log(BINS) rounds, and a bracket always loses its other bins.
 BINS = 256
-#: Copies of a bracket; the cells of one key are spread over so many join keys.
-SALTS = 16
+#: Cells of one key that may share a join key; a key with more is spread over several.
+CELLS = 200_000
 
 
 def exact_quantiles(
@@ -49,14 +50,21 @@ def exact_quantiles(
         .where(F.col("_v").isNotNull() & ~F.isnan("_v") & (F.col("_w") > 0))
         .groupBy(*names, "_v")
         .agg(F.sum("_w").alias("_w"))
-        .withColumn("_salt", F.pmod(F.xxhash64("_v"), F.lit(SALTS)).cast("int"))
     )
     cells = ws.keep(cells, "cells")
-    start = cells.groupBy(*names).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_w").alias("_n"))
+    salts = F.expr(f"int(count(1) div {CELLS}) + 1").alias("_salts")
+    start = cells.groupBy(*names).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_w").alias("_n"), salts)
+    start = ws.keep(start, "start")
+    # at most (cells) / CELLS keys are that large, which bounds the broadcast
+    large = start.where("_salts > 1").select(*[F.col(c).alias(f"{c}h") for c in names], F.col("_salts").alias("_of"))
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"{c}h")) for c in names])
+    cells = cells.join(F.broadcast(large), same, "left").select(
+        *names, "_v", "_w", F.pmod(F.xxhash64("_v"), F.coalesce("_of", F.lit(1))).cast("int").alias("_salt")
+    )
     q = F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("_q")
     n, p = F.col("_n"), F.col("_q")
     rank = F.greatest(F.lit(1), n - F.floor(n - p * n)).cast("bigint")
-    open_ = start.select(*names, q, "_lo", "_hi", "_n").withColumn("_rank", rank)
+    open_ = start.select(*names, q, "_lo", "_hi", "_n", "_salts").withColumn("_rank", rank)
     open_ = ws.keep(open_.withColumn("_done", F.col("_lo") == F.col("_hi")), "r0")
     round_ = 0
     while not open_.where(~F.col("_done")).isEmpty():
@@ -84,15 +92,15 @@ def _refine(cells: DataFrame, brackets: DataFrame, names: list[str], log: bool)
     bin_ = F.when(v == hi, F.lit(BINS - 1)).when(v == lo, F.lit(0)).otherwise(
         F.least(F.lit(BINS - 2), F.greatest(F.lit(0), inner))
     )
-    todo = brackets.where(~F.col("_done")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    todo = brackets.where(~F.col("_done")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
     spread = cells.withColumnsRenamed({n: f"{n}c" for n in [*names, "_salt"]})
     on = (F.col("_saltc") == F.col("_salt")) & (v >= lo) & (v <= hi)
     for n in names:
         on = on & F.col(f"{n}c").eqNullSafe(F.col(n))
     counts = (
         spread.join(todo, on)
-        .select(*names, "_q", "_n", "_rank", bin_.alias("_bin"), "_v", "_w")
-        .groupBy(*names, "_q", "_n", "_rank", "_bin")
+        .select(*names, "_q", "_n", "_salts", "_rank", bin_.alias("_bin"), "_v", "_w")
+        .groupBy(*names, "_q", "_n", "_salts", "_rank", "_bin")
         .agg(F.sum("_w").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     )
     up = Window.partitionBy(*names, "_q").orderBy("_bin")  # BINS rows at most
@@ -100,7 +108,7 @@ def _refine(cells: DataFrame, brackets: DataFrame, names: list[str], log: bool)
         (F.col("_upto") >= F.col("_rank")) & (F.col("_upto") - F.col("_c") < F.col("_rank"))
     )
     new = hit.select(
-        *names, "_q", "_lo", "_hi", "_n",
+        *names, "_q", "_lo", "_hi", "_n", "_salts",
         (F.col("_rank") - (F.col("_upto") - F.col("_c"))).alias("_rank"),
         (F.col("_lo") == F.col("_hi")).alias("_done"),
     )

@@ -1,8 +1,10 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from rankweave.operators import skew
 from rankweave.operators.skew import exact_quantiles, key_profile
 
 
@@ -11,7 +13,9 @@ def lower(values, q):
     return v[max(1, len(v) - math.floor(len(v) - q * len(v))) - 1]
 
 
-def test_quantiles_like_sorting_with_a_hot_key(spark):
+@pytest.mark.parametrize("cells", [skew.CELLS, 500])
+def test_quantiles_like_sorting_with_a_hot_key(spark, monkeypatch, cells):
+    monkeypatch.setattr(skew, "CELLS", cells)  # with 500 the hot key is salted, the others are not
     random.seed(5)
     wild = [0.0, -0.0, 1e-300, -1e-300, 1e308, -1e308, 5e-324, 1.0, 1.0000000000000002]
     rows = [("hot", random.choice([random.gauss(0, 1), random.choice(wild), random.uniform(-1e9, 1e9)])) for _ in range(9000)]
