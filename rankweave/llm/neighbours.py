@@ -8,6 +8,11 @@ bucket holds about as many vectors at every size. A vector is stored in all the
 so two vectors meet wherever their probe sets share a bucket of any table. A bucket compares all
 its vectors, on the vectors themselves, and keeps the k best of each; the lists are then merged.
 
+More than BLOCK vectors are first told apart by the parts into which a bounded sample of them falls
+(a single part if it falls into none), and hashed around the mean of their part. A part that one
+group can search travels once, as one bucket; a larger one by its best buckets as above. A group
+too large to compare all its pairs hashes its vectors again in memory, where probes cost no shuffle.
+
 For the shuffle the rows of a batch are packed: one row per bucket and batch with the ids and the
 vectors as 16-bit fixed-point numbers relative to their greatest component. That keeps a cosine
 within 3e-5; ``knn_pairs_at_least`` recomputes those near its threshold from the exact vectors.
@@ -40,6 +45,10 @@ HOT = 100_000
 BLOCK = 100_000
 #: Vectors whose lists one merge group holds on average.
 MERGE = 50_000
+#: Vectors that one group searches at most by hashes of its own.
+GROUP = 1 << 19
+#: Probes of a part of the collection that is shared out to the 2 * dim buckets of one rotation.
+SHARED = 8
 SEED = 20_240_229
 _POOL = 4
 
@@ -146,6 +155,81 @@ def _arrays(batch: pa.RecordBatch) -> tuple[pa.Array, pa.Array]:
     return batch.column(0), batch.column(1)
 
 
+class Places(NamedTuple):
+    """The buckets of a collection: each part of it lies around a mean and has a scheme of its own."""
+
+    means: np.ndarray
+    cells: np.ndarray  # a row belongs to the part of the nearest of these
+    part: np.ndarray  # the part of each cell
+    schemes: tuple[Scheme, ...]  # without probes: the part is one bucket
+    hashed: bool  # large buckets are searched by hashes of their own
+
+    def first(self, dim: int) -> np.ndarray:
+        """Where the buckets of each part begin."""
+        dim = 1 << max(0, dim - 1).bit_length()
+        return np.cumsum([0, *(s.buckets(dim) * len(s.counts) or 1 for s in self.schemes)])
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        """The buckets of each row, -1 where its part has fewer probes than another."""
+        part = self.part[nearest(x, self.cells)]
+        out = np.full((len(x), max(sum(s.counts) or 1 for s in self.schemes)), -1, np.int32)
+        for c, first in zip(np.unique(part), self.first(x.shape[1])[np.unique(part)], strict=True):
+            rows, s = np.flatnonzero(part == c), self.schemes[c]
+            at = probes((x[rows] - self.means[c]).astype(np.float32), s) if s.counts else np.zeros((len(rows), 1), np.int32)
+            out[rows, : at.shape[1]] = at + first
+        return out
+
+
+def nearest(x: np.ndarray, means: np.ndarray) -> np.ndarray:
+    """The nearest mean of each row."""
+    if len(means) == 1:
+        return np.zeros(len(x), np.int64)
+    return (x @ means.T - 0.5 * (means * means).sum(axis=1)).argmax(axis=1)
+
+
+def part_scheme(size: float, dim: int) -> Scheme:
+    """Buckets of a part of ``size`` vectors: one as long as a group can search it."""
+    if size <= 0.7 * GROUP:
+        return Scheme((), ())
+    got = scheme(math.ceil(size * LOAD / (GROUP // 2)), dim)
+    return got if got.axes else Scheme((), (SHARED,))
+
+
+def fit_parts(x: np.ndarray, k: int, kept: float = 0.98) -> tuple[np.ndarray, np.ndarray]:
+    """Means of cells, and the part of each cell, of a sample of unit vectors.
+
+    Cells that are near each other compared with the spread around their means are one part. The
+    measure is widened, until a single part is left if need be, as long as the parts tear apart
+    more than 1 - ``kept`` of the k nearest neighbours within the sample.
+    """
+    rng = np.random.RandomState(SEED)
+    means = x[rng.permutation(len(x))[: max(1, min(192, len(x) // 50))]]
+    least = len(x) // len(means) // 4  # a mean of a few vectors says nothing of a part
+    for _ in range(10):
+        size = np.bincount(cell := nearest(x, means))
+        means = np.stack([x[cell == c].mean(axis=0) for c in np.flatnonzero(size >= min(least, size.max()))])
+    cell = nearest(x, means)
+    spread = np.bincount(cell, ((x - means[cell]) ** 2).sum(axis=1), len(means)) / np.maximum(np.bincount(cell, minlength=len(means)), 1)
+    far = ((means[:, None] - means[None]) ** 2).sum(axis=2)
+    asked = rng.permutation(len(x))[:500]
+    s = x[asked] @ x.T
+    s[np.arange(len(asked)), asked] = -9
+    near = np.argsort(-s, axis=1, kind="stable")[:, : min(k, len(x) - 1)]
+    within = 0.4
+    while True:
+        tie = (far <= within * (spread[:, None] + spread[None]) / 2) | np.eye(len(means), dtype=bool)
+        label = np.arange(len(means))
+        while True:
+            low = np.where(tie, label[None], len(means)).min(axis=1)
+            if (low == label).all():
+                break
+            label = low
+        _, part = np.unique(label, return_inverse=True)
+        if part.max() == 0 or (part[cell[near]] == part[cell[asked]][:, None]).mean() >= kept:
+            return means, part
+        within = within * 1.5 if within < 100 else np.inf
+
+
 _BLOBS = ("ids", "vectors", "sigs", "copy_at", "copy_id", "home")
 _STORED = "bucket int, pair long, side int, " + ", ".join(f"{b} binary" for b in _BLOBS)
 _STORED_SCHEMA = pa.schema(
@@ -183,7 +267,7 @@ def fixed_point(x: np.ndarray) -> np.ndarray:
     return np.pad(q, ((0, 0), (0, -x.shape[1] % 4)))
 
 
-def _store(batches: Iterator[pa.RecordBatch], dim: int, mean: np.ndarray, s: Scheme, k: int, groups: dict):
+def _store(batches: Iterator[pa.RecordBatch], dim: int, to: Places, k: int, groups: dict):
     """Rows of packed vectors for each bucket (and pair of sub-blocks) that a batch reaches."""
     schema = _STORED_SCHEMA
     for batch in batches:
@@ -192,9 +276,9 @@ def _store(batches: Iterator[pa.RecordBatch], dim: int, mean: np.ndarray, s: Sch
             continue
         q = fixed_point(x)
         keep, at = merge_copies(q, ids)
-        shifted = (x[keep] - mean).astype(np.float32)
-        where = probes(shifted, s)
-        sigs = (where - _offsets(s, dim)).astype(_sig_kind(s, dim))
+        where = to.of(x[keep])
+        s = to.schemes[0]
+        sigs = np.zeros((len(keep), 0), np.uint8) if to.hashed else (where - _offsets(s, dim)).astype(_sig_kind(s, dim))
         several = np.bincount(at, minlength=len(keep)) > 1
         rid, rq = ids[keep], q[keep]
         mixed = _hash_rows(rq)
@@ -207,6 +291,7 @@ def _store(batches: Iterator[pa.RecordBatch], dim: int, mean: np.ndarray, s: Sch
         flat, row = where.ravel(), np.repeat(np.arange(len(keep)), where.shape[1])
         is_home = np.tile(np.arange(where.shape[1]) == 0, len(keep))  # the best bucket of the first table
         order = np.argsort(flat, kind="stable")
+        order = order[np.count_nonzero(flat < 0) :]
         cut = np.flatnonzero(np.r_[True, np.diff(flat[order]) > 0, True])
         out: dict[str, list] = {n: [] for n in schema.names}
         for a, b in zip(cut[:-1], cut[1:], strict=True):
@@ -294,10 +379,124 @@ def block_top(x: np.ndarray, k: int, sides: np.ndarray | None = None) -> tuple[n
     return row, keys & 0x3FFFF, cos.astype(np.float32)
 
 
-def _first_bounds(x: np.ndarray, bound: np.ndarray, rows: np.ndarray, others: np.ndarray, k: int) -> None:
+def hashed_top(x: np.ndarray, k: int, axes: int, tables: int, count: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``row, other, cosine`` like ``block_top``, for rows that meet in a cell of some table.
+
+    The rows are shifted by their mean; a cell of a table is a signed axis of one rotation and one
+    of the first ``axes`` of another, and each row lies in its ``count`` best cells.
+    """
+    n, dim = len(x), 1 << max(0, x.shape[1] - 1).bit_length()
+    bound = np.full(n, -2.0, np.float32)
+    _first_bounds(x, bound, np.arange(n), np.arange(n), k, 2048)
+    mean = x.mean(axis=0)
+    i, j = np.divmod(np.arange(count * count), count)
+    i, j = (v[(i + 1) * (j + 1) <= count] for v in (i, j))  # no other pair can be among the best
+    found: list[np.ndarray] = []
+    held = 0
+    products, flags = np.empty(256 * 2048, np.float32), np.zeros(256 * 2048 + 8, bool)
+
+    def best(y: np.ndarray, turn: np.ndarray, some: int) -> tuple[np.ndarray, np.ndarray]:
+        z = y @ turn[: x.shape[1], :some]
+        z = np.concatenate([z, -z], axis=1)
+        m = min(count, z.shape[1])
+        top = np.argpartition(z, -m, axis=1)[:, -m:]
+        v = np.take_along_axis(z, top, 1)
+        by = np.argsort(-v, axis=1)
+        return np.take_along_axis(top, by, 1), np.take_along_axis(v, by, 1)
+
+    for t in range(tables):
+        turns = [pseudo_rotate(np.eye(dim, dtype=np.float32), seed + 2 * t + u) for u in (0, 1)]
+        at = np.empty((n, count), np.int64)  # cell and row
+        for a in range(0, n, 8192):
+            y = x[a : a + 8192] - mean
+            first, v = best(y, turns[0], dim)
+            second, w = best(y, turns[1], axes)
+            ok = (i < first.shape[1]) & (j < second.shape[1])
+            top = np.argpartition(v[:, i[ok]] + w[:, j[ok]], -count, axis=1)[:, -count:]
+            cell = np.take_along_axis(first, i[ok][top], 1) * (2 * axes) + np.take_along_axis(second, j[ok][top], 1)
+            at[a : a + 8192] = (cell << 32) | np.arange(a, a + len(y))[:, None]
+        at = at.reshape(-1)
+        at.sort()
+        ends = np.searchsorted(at, np.arange(4 * dim * axes + 1) << 32)
+        for a, b in zip(ends[:-1], ends[1:], strict=True):
+            if b - a < 2:
+                continue
+            here = at[a:b] & 0xFFFFFFFF
+            here = here[np.argsort(bound[here])]
+            xc, low = x[here], bound[here]
+            for u in range(0, b - a, 256):  # later rows have higher bounds: the test for the earlier one serves both
+                xu = xc[u : u + 256]
+                for v in range(u, b - a, 2048):
+                    xv = xc[v : v + 2048]
+                    s = np.matmul(xu, xv.T, out=products[: len(xu) * len(xv)].reshape(len(xu), len(xv)))
+                    row, other = _at_least(s, low[u : u + 256], flags)
+                    cos = s[row, other]
+                    row, other = row + u, other + v
+                    later = other > row
+                    row, other, cos = row[later], other[later], cos[later]
+                    if len(row):
+                        both = cos >= low[other]
+                        found.append(_pair_keys(here[row], here[other], cos))
+                        found.append(_pair_keys(here[other[both]], here[row[both]], cos[both]))
+                        held += len(found[-1]) + len(row)
+            if held > 2 * k * n:  # up to k * n of these are the best so far
+                found = [_best_pairs(np.concatenate(found), k, bound)]
+                held = len(found[0])
+        if found:
+            found = [_best_pairs(np.concatenate(found), k, bound)]
+            held = len(found[0])
+    keys = found[0] if found else np.zeros(0, np.int64)
+    row, other, far = keys >> 44, (keys >> 25) & 0x7FFFF, keys & 0x1FFFFFF
+    return row, other, (1.0 - far.astype(np.float64) / (1 << 24)).astype(np.float32)
+
+
+def _at_least(s: np.ndarray, low: np.ndarray, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the entries not below the row's bound; ``flags`` is scratch space."""
+    np.greater_equal(s, low[:, None], out=flags[: s.size].reshape(s.shape))
+    words = -(-s.size // 8)
+    flags[s.size : 8 * words] = False
+    some = np.flatnonzero(flags[: 8 * words].view(np.uint64))  # eight flags at a time
+    at, bit = np.nonzero(flags[: 8 * words].reshape(words, 8)[some])
+    return np.divmod(some[at] * 8 + bit, s.shape[1])
+
+
+def _pair_keys(row: np.ndarray, other: np.ndarray, cos: np.ndarray) -> np.ndarray:
+    """Keys (row, other, 1 - cosine) for rows below 2**19."""
+    far = np.clip(np.round((1.0 - cos.astype(np.float64)) * (1 << 24)), 0, 0x1FFFFFF).astype(np.int64)
+    return (row.astype(np.int64) << 44) | (other.astype(np.int64) << 25) | far
+
+
+def _best_pairs(keys: np.ndarray, k: int, bound: np.ndarray) -> np.ndarray:
+    """The keys of the k best of each row, each pair once; raises the bounds of full rows."""
+    keys.sort()
+    pair = keys >> 25
+    keys = keys[np.r_[True, pair[1:] != pair[:-1]]] if len(keys) else keys
+    by = (keys >> 44 << 44) | ((keys & 0x1FFFFFF) << 19) | ((keys >> 25) & 0x7FFFF)
+    by.sort()
+    row = by >> 44
+    first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(by) else np.zeros(0, np.int64)
+    size = np.diff(np.r_[first, len(by)])
+    full = first[size >= k] + k - 1
+    bound[row[full]] = np.maximum(bound[row[full]], (1.0 - ((by[full] >> 19) & 0x1FFFFFF) / (1 << 24) - 1e-6).astype(np.float32))
+    by = by[np.arange(len(by)) - np.repeat(first, size) < k]
+    return (by >> 44 << 44) | ((by & 0x7FFFF) << 25) | ((by >> 19) & 0x1FFFFFF)
+
+
+def searched(n: int, whole: bool) -> tuple[int, int, int] | None:
+    """Axes, tables and cells of a row for the hashes of a group; None: all pairs are compared.
+
+    A group that is a part of the collection as a ``whole`` is the only place where its vectors
+    meet; others are met in several buckets.
+    """
+    if whole:
+        return None if n <= 60_000 else (32, 4, 24) if n <= 250_000 else (32, 4, 20)
+    return None if n <= 30_000 else (8, 4, 12) if n <= 120_000 else (32, 4, 16)
+
+
+def _first_bounds(x: np.ndarray, bound: np.ndarray, rows: np.ndarray, others: np.ndarray, k: int, most: int = 1 << 18) -> None:
     """Lower bounds of the k-th best of ``rows`` among ``others`` from a sample of the latter."""
     width = 1 << max(5, (2 * k).bit_length())
-    m = max(width * 8, len(others) // 8) // width * width
+    m = max(width * 8, min(most, len(others) // 8)) // width * width
     if len(others) < 2 * m:
         return
     sample = np.ascontiguousarray(x[others[:: len(others) // m][:m]])
@@ -355,7 +554,7 @@ def _raise(bound: np.ndarray, keys: np.ndarray, k: int) -> None:
 _LISTS = "part int, q binary, n binary, c binary, rep binary, key binary"
 
 
-def _bucket(table: pa.Table, dim: int, k: int, parts: int, sub: dict[int, int], s: Scheme) -> pa.Table:
+def _bucket(table: pa.Table, dim: int, k: int, parts: int, sub: dict[int, int], to: Places) -> pa.Table:
     """The lists of one group: a bucket, or two of its sub-blocks."""
 
     def joined(name: str, kind) -> np.ndarray:
@@ -365,7 +564,6 @@ def _bucket(table: pa.Table, dim: int, k: int, parts: int, sub: dict[int, int],
     groups = sub.get(bucket, 1)
     ids = joined("ids", np.int64)
     q = joined("vectors", np.int16).reshape(len(ids), -1)
-    sigs = joined("sigs", _sig_kind(s, dim)).reshape(len(ids), -1) + _offsets(s, dim)
     home = joined("home", bool)
     sizes = [len(v.as_buffer()) // 8 for v in table.column("ids")]
     base = np.cumsum([0, *sizes[:-1]])
@@ -377,13 +575,19 @@ def _bucket(table: pa.Table, dim: int, k: int, parts: int, sub: dict[int, int],
     x /= np.sqrt((x * x).sum(axis=1))[:, None]
     side = side[keep]
     cross = bool(groups > 1 and pair // groups != pair % groups)
-    row, other, cos = block_top(x, k, side if cross else None)
-    ids_, sigs = ids[keep], sigs[keep]
-    # a pair is reported by the first bucket that both vectors have
-    mine, theirs = sigs[row], sigs[other]
-    shared = np.where((mine[:, :, None] == theirs[:, None, :]).any(axis=2), mine, np.iinfo(np.int32).max).min(axis=1)
-    ok = shared == bucket
-    row, other, cos = row[ok], other[ok], cos[ok]
+    ids_ = ids[keep]
+    s = to.schemes[int(np.searchsorted(to.first(dim), bucket, "right")) - 1]
+    how = searched(len(x), not s.counts) if to.hashed and groups == 1 else None
+    if how:
+        row, other, cos = hashed_top(x, k, *how, SEED + 1000 + 10 * bucket)
+    else:
+        row, other, cos = block_top(x, k, side if cross else None)
+    if not to.hashed:  # a pair is reported by the first bucket that both vectors have
+        sigs = (joined("sigs", _sig_kind(s, dim)).reshape(len(ids), -1) + _offsets(s, dim))[keep]
+        mine, theirs = sigs[row], sigs[other]
+        shared = np.where((mine[:, :, None] == theirs[:, None, :]).any(axis=2), mine, np.iinfo(np.int32).max).min(axis=1)
+        ok = shared == bucket
+        row, other, cos = row[ok], other[ok], cos[ok]
     qs, ns, cs = [ids_[row]], [ids_[other]], [cos]
     rep, key = np.zeros(0, np.int64), np.zeros((0, 2), np.int64)
     # copies: those merged in the batches and those merged here
@@ -457,10 +661,12 @@ def _merge(table: pa.Table, k: int) -> pa.Table:
 
     q, n, c = joined("q", np.int64), joined("n", np.int64), joined("c", np.float32)
     rep, key = joined("rep", np.int64), joined("key", np.int64).reshape(-1, 2)
-    order = np.lexsort((n, -c, q))
+    order = np.lexsort((-c, n, q))  # several buckets may report a pair, with rounding of their own
     q, n, c = q[order], n[order], c[order]
     same = np.r_[False, (q[1:] == q[:-1]) & (n[1:] == n[:-1])] if len(q) else np.zeros(0, bool)
     q, n, c = q[~same], n[~same], c[~same]
+    order = np.lexsort((n, -c, q))
+    q, n, c = q[order], n[order], c[order]
     grouped = np.isin(q, rep)  # vectors with copies: their lists hold their own ids too
     single = _ranked(q[~grouped], n[~grouped], c[~grouped], k, drop_self=True)
     rep, first = np.unique(rep, return_index=True)
@@ -508,29 +714,36 @@ def knn(df: DataFrame, vec_id: str, vector: str, dim: int, k: int = 10, plan: Sc
     got = picked.mapInArrow(sums, "s binary, n bigint").collect()  # one row a task
     num = sum(r["n"] for r in got)
     mean = sum((np.frombuffer(r["s"]) for r in got), np.zeros(dim)) / max(1, num)
-    plan = plan or scheme(n, dim)
+    at = Places(mean[None], mean[None], np.zeros(1, np.int64), (plan or scheme(n, dim),), False)
+    if plan is None and n > BLOCK and dim > 32:  # fewer dimensions are divided well enough by scheme
+        sample = _sample(picked, dim)
+        at = places(sample, n, k) if len(sample) else at
     groups: dict[int, int] = {}
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _store(batches, dim, mean, plan, k, groups)
+        yield from _store(batches, dim, at, k, groups)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, x = usable(*_arrays(batch), dim)
             if len(ids):
                 keep, _ = merge_copies(fixed_point(x), ids)
-                rows = np.bincount(probes((x[keep] - mean).astype(np.float32), plan).ravel())
+                where = at.of(x[keep]).ravel()
+                rows = np.bincount(where[where >= 0])
                 some = np.flatnonzero(rows)
                 yield pa.RecordBatch.from_pydict({"bucket": some.astype(np.int32), "rows": rows[some]})
 
     if n > BLOCK:  # no bucket can exceed a block otherwise
         sizes = slim.mapInArrow(tally, "bucket int, rows bigint").groupBy("bucket").agg(F.sum("rows").alias("rows"))
         # at most (probes of all vectors) / BLOCK buckets can be that large
-        for r in sizes.where(F.col("rows") > BLOCK).collect():
+        for r in sizes.where(F.col("rows") > (GROUP if at.hashed else BLOCK)).collect():
             groups[r["bucket"]] = -(-r["rows"] // (BLOCK // 2))
     parts = max(1, -(-n // MERGE))
     stored = slim.mapInArrow(store, _STORED)
-    lists = stored.groupBy("bucket", "pair").applyInArrow(lambda t: _bucket(t, dim, k, parts, groups, plan), _LISTS)
+    if at.hashed:  # few bytes and much work in each group: partitions are not to be joined for their size
+        least = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+        stored = stored.repartition(min(int(at.first(dim)[-1]), least), "bucket", "pair")
+    lists = stored.groupBy("bucket", "pair").applyInArrow(lambda t: _bucket(t, dim, k, parts, groups, at), _LISTS)
     merged = lists.groupBy("part").applyInArrow(
         lambda t: _merge(t, k),
         "vec_id bigint, neighbour bigint, cosine float, rank int, many boolean, key_a bigint, key_b bigint",
@@ -541,6 +754,27 @@ def knn(df: DataFrame, vec_id: str, vector: str, dim: int, k: int = 10, plan: Sc
     return single if many.isEmpty() else single.unionByName(_to_all_ids(slim, many, dim, k))
 
 
+def _sample(picked: DataFrame, dim: int) -> np.ndarray:
+    """The usable vectors of a bounded sample as unit vectors, by ascending id."""
+
+    def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, x = usable(*_arrays(batch), dim)
+            yield pa.RecordBatch.from_pydict({"id": ids, "x": pa.array([r.tobytes() for r in x.astype(np.float32)], pa.binary())})
+
+    rows = sorted((r["id"], bytes(r["x"])) for r in picked.mapInArrow(units, "id bigint, x binary").collect())
+    return np.frombuffer(b"".join(v for _, v in rows), np.float32).reshape(-1, dim)
+
+
+def places(x: np.ndarray, n: int, k: int) -> Places:
+    """Parts of ``n`` vectors as the sample ``x`` shows them, each with buckets in proportion to its size."""
+    cells, part = fit_parts(x, k)
+    of = part[nearest(x, cells)]
+    parts = [x[of == p] for p in range(part.max() + 1)]
+    means = np.stack([v.mean(axis=0) if len(v) else np.zeros(x.shape[1], np.float32) for v in parts])
+    return Places(means, cells, part, tuple(part_scheme(n * len(v) / len(x), x.shape[1]) for v in parts), True)
+
+
 def _to_all_ids(slim: DataFrame, many: DataFrame, dim: int, k: int) -> DataFrame:
     """The list of a repeated vector for each of its ids, the id itself left out.
 

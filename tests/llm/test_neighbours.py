@@ -89,6 +89,59 @@ def test_recall_of_divided_buckets(n):
     assert met.mean() >= 0.9
 
 
+def in_parts(n, seed=6):
+    """Vectors around 12 centres of uneven weight."""
+    rng = np.random.default_rng(seed)
+    centres = np.random.default_rng(8).standard_normal((12, 64))
+    weight = 1 / np.arange(1, 13)
+    return centres[rng.choice(12, n, p=weight / weight.sum())] + 0.8 * rng.standard_normal((n, 64))
+
+
+def test_large_collections_are_told_apart_first():
+    x = in_parts(20_000)
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    for n, copies in ((1_000_000, 1), (16_800_000, N.SHARED)):
+        at = N.places(x, n, 10)
+        where = at.of(x[:4000])
+        assert len(at.schemes) == 12 and (where >= 0).sum(axis=1).max() <= copies
+        loads = np.bincount(where[where >= 0]) * (n / 4000)
+        assert loads.max() <= 2 * N.GROUP
+        assert sum(N.scheme(n, 64).counts) > 2 * copies
+    blob = np.random.default_rng(7).standard_normal((5000, 64)).astype(np.float32)
+    blob /= np.linalg.norm(blob, axis=1, keepdims=True)
+    assert len(N.places(blob, 1_000_000, 10).schemes) == 1  # nothing to tell apart, nothing torn
+
+
+@pytest.mark.parametrize("group", [N.GROUP, 1000])
+def test_recall_of_parts(spark, monkeypatch, group):
+    x = in_parts(4000)
+    want, s = exact(x, 10)
+    monkeypatch.setattr(N, "BLOCK", 2000)
+    monkeypatch.setattr(N, "GROUP", group)
+    got = lists(N.knn(table(spark, x), "vec_id", "embedding", 64))
+    asked = range(0, 4000, 20)
+    recall = sum(len(set(got[i]) & want[i]) for i in asked) / (10 * len(asked))
+    assert recall >= (0.98 if group > 1000 else 0.9)
+    assert all(abs(c - s[i][j]) < 3e-5 for i in asked for j, (_, c) in got[i].items())
+
+
+def test_hashed_group():
+    rng = np.random.default_rng(9)
+    x = (rng.standard_normal((12_000, 64)) + 2).astype(np.float32)
+    x[5000:5100] = x[:100] + 0.2 * rng.standard_normal((100, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    row, other, cos = N.hashed_top(x, 10, 8, 4, 24, 5)
+    assert (row != other).all() and len(set(zip(row.tolist(), other.tolist(), strict=True))) == len(row)
+    assert np.bincount(row).max() == 10
+    assert np.allclose(cos, (x[row] * x[other]).sum(axis=1), atol=1e-6)
+    found = set(zip(row.tolist(), other.tolist(), strict=True))
+    assert all((i, 5000 + i) in found and (5000 + i, i) in found for i in range(100))
+    s = x[:200] @ x.T
+    s[np.arange(200), np.arange(200)] = -9
+    near = np.argsort(-s, axis=1)[:, :10]
+    assert np.mean([(i, j) in found for i in range(200) for j in near[i].tolist()]) >= 0.9
+
+
 def test_sub_blocks_lose_nothing(spark, monkeypatch):
     rng = np.random.default_rng(2)
     x = rng.standard_normal((900, 64)) + 3  # one crowded direction
